@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .chat_format import OP5_SQL, op5_chat_format
+from .html_extract import op1_html_extract
+from .language_id import op2_language_id
 from .sharding import OP6_SQL, op6_sharding
 from .url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
+    "op2_language_id": op2_language_id,
     "op5_chat_format": op5_chat_format,
     "op6_sharding": op6_sharding,
     "op8_url_filter": op8_url_filter,
