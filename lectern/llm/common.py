@@ -46,3 +46,8 @@ def shuffle_parts(spark: SparkSession) -> int:
 def bucket(n: int, *cols: str | Column) -> Column:
     """A bucket number 0..n-1 from the columns' hash."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+
+
+def md5_long(text: Column, digits: int = 8) -> Column:
+    """The first hex digits of the text's md5 as a number; DuckDB can compute the same."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")

@@ -5,14 +5,24 @@ from __future__ import annotations
 from .chat_format import OP5_SQL, op5_chat_format
 from .html_extract import op1_html_extract
 from .language_id import op2_language_id
+from .licenses import OP3_SQL, op3_license_scan
+from .mixing import OP9_SQL, op9_mixing
 from .sharding import OP6_SQL, op6_sharding
 from .url_filter import OP8_SQL, op8_url_filter
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_language_id": op2_language_id,
+    "op3_license_scan": op3_license_scan,
     "op5_chat_format": op5_chat_format,
     "op6_sharding": op6_sharding,
     "op8_url_filter": op8_url_filter,
+    "op9_mixing": op9_mixing,
+}
+SQL = {
+    "op3_license_scan": OP3_SQL,
+    "op5_chat_format": OP5_SQL,
+    "op6_sharding": OP6_SQL,
+    "op8_url_filter": OP8_SQL,
+    "op9_mixing": OP9_SQL,
 }
-SQL = {"op5_chat_format": OP5_SQL, "op6_sharding": OP6_SQL, "op8_url_filter": OP8_SQL}
