@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .chat_format import OP5_SQL, op5_chat_format
+from .decontaminate import op7_decontaminate
 from .html_extract import op1_html_extract
 from .language_id import op2_language_id
 from .licenses import OP3_SQL, op3_license_scan
 from .mixing import OP9_SQL, op9_mixing
+from .ngram_join import op10_ngram_jaccard
 from .sharding import OP6_SQL, op6_sharding
 from .url_filter import OP8_SQL, op8_url_filter
 
@@ -16,8 +18,10 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op5_chat_format": op5_chat_format,
     "op6_sharding": op6_sharding,
+    "op7_decontaminate": op7_decontaminate,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 SQL = {
     "op3_license_scan": OP3_SQL,
