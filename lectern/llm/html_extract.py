@@ -287,7 +287,7 @@ def extract_pages(pages: DataFrame, model: TreeModel, html_col: str = "html", te
     result. Columns that already have the result's names are replaced."""
     rest = pages.drop(*{text, n_chars} - {html_col})
     kept = [f for f in rest.schema.fields if f.name != html_col]
-    schema = StructType(kept).add(text, "string").add(n_chars, "long")
+    schema = StructType([*kept]).add(text, "string").add(n_chars, "long")
     shared = pages.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches):
