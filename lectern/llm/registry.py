@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP5_SQL, op5_chat_format
 from .decontaminate import op7_decontaminate
+from .embedding_dedup import OP4_SQL, op4_embedding_dedup
 from .html_extract import op1_html_extract
 from .language_id import op2_language_id
 from .licenses import OP3_SQL, op3_license_scan
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_sharding": op6_sharding,
     "op7_decontaminate": op7_decontaminate,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 SQL = {
     "op3_license_scan": OP3_SQL,
+    "op4_embedding_dedup": OP4_SQL,
     "op5_chat_format": OP5_SQL,
     "op6_sharding": OP6_SQL,
     "op8_url_filter": OP8_SQL,
