@@ -79,30 +79,37 @@ def shard_of(key: Column, node: Node) -> Column:
 
 def shard_rows(
     docs: DataFrame, shards: int = 8, bins: int = 1024, id_col: str = "doc_id", text_col: str = "text",
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (), order: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Id, size, text_crc32, law, shard, slot, grown_shard for every row (plus columns ``keep``).
 
     size: UTF-8 bytes of the text (null: none) plus 1; the checksum of a null text is 0. A null
     id hashes as the empty string. Repeated ids share a shard, each row gets a slot of its own.
-    Slots follow (bin, id, checksum, size); rows that tie in all of them are interchangeable. An empty table
-    gives an empty result; other columns are dropped unless named in ``keep``."""
+    Slots follow (bin, id, checksum, size); rows that tie in all of them are interchangeable.
+    ``order`` names a column to use as the bin and one to sort it by instead. An empty table
+    gives an empty result; other columns are dropped unless named in ``keep``."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    kept = [c for c in keep if c != id_col]
     placed = docs.select(
         F.col(id_col), (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
         F.lit("key").alias("law"), shard_of(key, tree(shards)).cast("int").alias("shard"),
-        shard_of(key, tree(shards + 1)).cast("int").alias("grown_shard"), *[F.col(c) for c in keep if c != id_col],
-    ).withColumn("bin", _bin(id_col, bins))
-    counts = placed.groupBy("shard", "bin").agg(F.count("*").alias("n"))  # at most shards * bins rows
-    before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "bin").orderBy(id_col, "text_crc32", "size")
+        shard_of(key, tree(shards + 1)).cast("int").alias("grown_shard"), *kept,
+        *([F.col(order[0]).alias("__bin"), F.col(order[1]).alias("__by")] if order else []),
+    )
+    if not order:
+        placed = placed.withColumn("__bin", _bin(id_col, bins)).withColumn("__by", F.lit(0))
+    counts = placed.groupBy("shard", "__bin").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "__bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    if not order:
+        starts = F.broadcast(starts)  # at most shards * bins rows
+    within = Window.partitionBy("shard", "__bin").orderBy("__by", id_col, "text_crc32", "size")
     return (
         placed.withColumn("rank", F.row_number().over(within) - 1)
-        .join(F.broadcast(starts), ["shard", "bin"])
+        .join(starts, ["shard", "__bin"])
         .select(id_col, "size", "text_crc32", "law", "shard", (F.col("start") + F.col("rank")).cast("long").alias("slot"),
-                "grown_shard", *[c for c in keep if c != id_col])
+                "grown_shard", *kept)
     )
 
 
