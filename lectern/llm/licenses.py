@@ -6,8 +6,8 @@ spellings get one form. The lines that remain are joined by blanks and the diges
 The same is done to every line by itself, so notices inside a document are found too. Known
 texts pass through the same expression.
 
-Distribution: one narrow pass over the texts; the known digests (a fixed list, some hundred
-rows) are broadcast, so only the matches of lines, not the texts, are shuffled.
+Distribution: one pass over the texts; the known digests (a fixed list, some hundred rows) are
+broadcast, and one small row a document, not its text, is shuffled.
 """
 
 from __future__ import annotations
@@ -85,43 +85,67 @@ def canonical_line(line: Column) -> Column:
 
 
 def canonical_lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\r\n|\r|\n", -1), canonical_line)
+    return F.transform(split_lines(text), canonical_line)
+
+
+def split_lines(text: Column) -> Column:
+    return F.split(text, "\r\n|\r|\n", -1)
 
 
 def whole(lines: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
+def head(line: Column) -> Column:
+    """The first three letters or digits. No spelling rule changes them, but for ``v`` before a
+    number; so a line whose head begins no known text cannot match and is not worked on."""
+    return F.regexp_extract(F.lower(line), r"[\p{L}\p{N}]{1,3}", 0)
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """license, digest; one row a digest (the first licence by name)."""
     rows = rows_frame(spark, known_texts() if known is None else known, license="string", text="string")
-    digest = F.sha2(whole(canonical_lines(F.col("text"))), 256).alias("digest")
-    return rows.select("license", digest).groupBy("digest").agg(F.min("license").alias("license"))
+    canonical = whole(canonical_lines(F.col("text"))).alias("canonical")
+    return rows.select("license", canonical).groupBy("canonical").agg(F.min("license").alias("license")).select(
+        F.sha2("canonical", 256).alias("digest"), "license", head(F.col("canonical")).alias("head"))
 
 
-def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_known: int = 100_000) -> DataFrame:
     """One row per row: id, license (of the entire text, else null), line_licenses (the distinct
     licences of single lines, sorted, comma-separated), license_lines, copyright_lines.
 
-    Null and empty texts match nothing. Rows that share an id share the union of their lines'
-    licences; repeated rows stay repeated. Other columns are dropped."""
-    known = F.broadcast(known)  # a fixed list
+    Null and empty texts match nothing; repeated rows stay repeated, null ids stay null. Other
+    columns are dropped. ``known`` must hold at most ``max_known`` digests, which are broadcast."""
+    heads = sorted(r[0] for r in known.select("head").distinct().limit(max_known + 1).collect())
+    if known.limit(max_known + 1).count() > max_known:
+        raise ValueError(f"more than {max_known} known digests")
+    begins = F.create_map(*[F.lit(x) for h in heads for x in (h, True)]) if heads else F.expr("map('', false)")
+
+    def may_match(line: Column) -> Column:
+        h = head(line)
+        return h.startswith("v") | F.coalesce(F.element_at(begins, h), F.lit(False))
+
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).alias("__id"), canonical_lines(text).alias("__lines"),
-                        F.size(F.filter(F.split(text, "\r\n|\r|\n", -1), is_copyright_line)).cast("long").alias("copyright_lines"))
-    texts = lines.select("__id", "copyright_lines", F.sha2(whole(F.col("__lines")), 256).alias("digest"))
-    texts = texts.join(known, "digest", "left").drop("digest")
-    found = (
-        lines.select("__id", F.explode(F.filter("__lines", lambda x: x != "")).alias("line"))
-        .select("__id", F.sha2("line", 256).alias("digest"))
-        .join(known.withColumnRenamed("license", "__l"), "digest")
-        .groupBy("__id")
-        .agg(F.array_join(F.sort_array(F.collect_set("__l")), ",").alias("line_licenses"), F.count("*").alias("license_lines"))
-        .withColumnRenamed("__id", "__found")
-    )
-    return texts.join(found, F.col("__id").eqNullSafe(F.col("__found")), "left").select(
-        F.col("__id").alias(id_col), "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"),
-        F.coalesce("license_lines", F.lit(0)).cast("long").alias("license_lines"), "copyright_lines",
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), split_lines(text).alias("lines")).select(
+        "id", "row", "lines", F.size(F.filter("lines", is_copyright_line)).cast("long").alias("copyright_lines"),
+        F.try_element_at(F.filter("lines", lambda x: (head(x) != "") & ~is_copyright_line(x)), F.lit(1)).alias("first"))
+    entire = F.when(may_match(F.col("first")), F.sha2(whole(F.transform("lines", canonical_line)), 256))
+    single = F.transform(F.filter("lines", may_match), lambda x: F.struct(
+        F.lit(False).alias("entire"), F.sha2(canonical_line(x), 256).alias("digest")))
+    units = rows.select("id", "row", "copyright_lines", F.inline(F.concat(
+        F.array(F.struct(F.lit(True).alias("entire"), entire.alias("digest"))), single)))
+    found = units.join(F.broadcast(known.select("digest", "license")), "digest", "left").where("entire or license is not null")
+    return (
+        found.groupBy("id", "row")
+        .agg(
+            F.max(F.when(F.col("entire"), F.col("license"))).alias("license"),
+            F.array_join(F.sort_array(F.collect_set(F.when(~F.col("entire"), F.col("license")))), ",").alias("line_licenses"),
+            F.sum((~F.col("entire")).cast("long")).alias("license_lines"),
+            F.max("copyright_lines").alias("copyright_lines"), F.sum(F.col("entire").cast("long")).alias("copies"))
+        .select(
+            F.col("id").alias(id_col), "license", "line_licenses", F.expr("license_lines div copies").alias("license_lines"),
+            "copyright_lines", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        .drop("copy")
     )
 
 
