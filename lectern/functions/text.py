@@ -163,12 +163,10 @@ def token_jaccard(a: Column, b: Column, slack: int = 2) -> Column:
 def changed_chars(a: Column, b: Column) -> Column:
     """The window that differs after cutting the common ends: an upper bound of the edit distance."""
     n = F.least(F.length(a), F.length(b))
-    same = lambda x, y, most: F.aggregate(
-        F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda i: F.substr(x, i, F.lit(1)) == F.substr(y, i, F.lit(1))),
-        F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")),
-        lambda acc, eq: F.struct((acc["on"] & eq).alias("on"), F.when(acc["on"] & eq, acc["n"] + 1).otherwise(acc["n"]).alias("n")),
-        lambda acc: F.least(acc["n"], most),
-    )
+    steps = F.array(*[F.lit(1 << k) for k in range(23, -1, -1)])
+    # equal beginnings are monotone in their length, so its bits are found one by one, the highest first
+    same = lambda x, y, most: F.aggregate(steps, F.lit(0), lambda p, k: F.when(
+        (p + k <= most) & (F.substr(x, F.lit(1), p + k) == F.substr(y, F.lit(1), p + k)), p + k).otherwise(p))
     head = same(a, b, n)
     tail = same(F.reverse(a), F.reverse(b), n - head)
     return F.when(a == b, 0).otherwise(F.greatest(F.length(a), F.length(b)) - head - tail)
