@@ -12,6 +12,9 @@ broadcast, and one small row a document, not its text, is shuffled.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +49,19 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR
 ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
 ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-_BSL = """Boost Software License - Version 1.0 - August 17th, 2003"""
-_UNLICENSE = """This is free and unencumbered software released into the public domain."""
-#: Texts by licence; notices are added by ``known_texts``.
+#: Short texts by licence; ``known_texts`` adds the files and the notices.
 TEXTS = [
     ("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT),
     ("0BSD", _ISC.format(".")),
     ("ISC", _ISC.format(", provided that the above copyright notice and this permission notice appear in all copies.")),
-    ("BSL-1.0", _BSL), ("Unlicense", _UNLICENSE),
+]
+#: Complete texts as published, one file a licence, and the titles they are also headed by.
+FILES = Path(__file__).with_name("license_texts")
+TITLES = {"BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License"}
+#: First lines that name their licence by themselves.
+FIRST_LINES = [
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 #: Names that notices use.
 NAMES = [
@@ -67,10 +75,21 @@ NAMES = [
 LEADS = ["Licensed under", "Released under", "Distributed under", "This work is licensed under", "This software is licensed under"]
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text): complete texts, each also with its title, without what follows the terms,
+    with bare bullets for numbers (BSD) and with the other scheme of its addresses."""
+    out = [*TEXTS, *((f.stem, f.read_text(encoding="utf-8")) for f in sorted(FILES.glob("*.txt")))]
+    out += [(i, t[: m.end()]) for i, t in out if (m := re.search(r"END OF TERMS AND CONDITIONS", t))]
+    out += [(i, t[: m.start()]) for i, t in out if (m := re.search(r"END OF TERMS AND CONDITIONS$", t))]
+    out += [(i, re.sub(r"(?m)^( *)[123]\.", r"\1*", t)) for i, t in out if i.startswith("BSD-")]
+    out += [(i, f"{TITLES[i]}\n{t}") for i, t in out if i in TITLES]
+    return out + [(i, t.replace(a, b)) for i, t in out for a, b in (("http:", "https:"), ("https:", "http:")) if a in t]
+
+
 def known_texts() -> list[tuple[str, str]]:
-    """(licence, text): the full texts and every lead with every name, with and without the article."""
+    """(licence, text): the full texts, telling first lines, and every lead with every name, with and without the article."""
     notices = [(i, f"{lead} {the}{name}") for i, name in NAMES for lead in LEADS for the in ("", "the ")]
-    return [*TEXTS, *notices]
+    return [*full_texts(), *FIRST_LINES, *notices]
 
 
 def is_copyright_line(line: Column) -> Column:

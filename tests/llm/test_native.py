@@ -77,6 +77,19 @@ def test_license_variants(spark):
     assert got[3] == got[4] == (None, "", 0) and got[5] == (None, "", 1) and got[6][0] is None and got[7][0] == "GPL-3.0-only"
 
 
+def test_complete_license_texts(spark):
+    """Every licence that notices name has its complete text, but for those the README names."""
+    files = {f.stem: f.read_text() for f in licenses.FILES.glob("*.txt")}
+    absent = {"AGPL-3.0-only", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0"}
+    assert {i for i, _ in licenses.NAMES} | {"BSL-1.0", "Unlicense", "Zlib"} == set(files) | absent | {"MIT", "ISC"}
+    cases = [(i, f"Copyright (c) 2024 Somebody\n\n{t.upper()}") for i, t in files.items()]
+    cases += [("BSD-3-Clause", "BSD 3-Clause License\n" + files["BSD-3-Clause"]), ("Apache-2.0", files["Apache-2.0"].split("   APPENDIX")[0])]
+    cases += [("Unlicense", files["Unlicense"].replace("http:", "https:")), (None, files["BSD-2-Clause"].replace("source", "sauce"))]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df, licenses.known_digests(spark)).collect()}
+    assert [(got[i], w) for i, (w, _) in enumerate(cases) if got[i] != w] == []
+
+
 def test_license_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, "MIT License"), (1, "Released under the MIT License"), (1, "Released under the MIT License"), (None, None)], "doc_id long, text string")
     got = licenses.scan(df, licenses.known_digests(spark)).collect()
