@@ -1,10 +1,10 @@
 """Licence scan (native): canonical digests of entire texts, hash-joined to known licences.
 
 A text is cut into lines; copyright lines (a mark, a year or a placeholder after the word) go;
-the rest is lower-cased, everything but letters and digits becomes one blank, and equivalent
-spellings get one form. The lines that remain are joined by blanks and the digest is taken of the whole.
-The same is done to every line by itself, so notices inside a document are found too. Known
-texts pass through the same expression.
+the lines that remain are joined by blanks, lower-cased, everything but letters and digits becomes
+one blank, equivalent spellings get one form, and the digest is taken of the whole, so it does not
+depend on where lines break. The same is done to every line by itself, so notices inside a document
+are found too. Known texts pass through the same expression.
 
 Distribution: one pass over the texts; the known digests (a fixed list, some hundred rows) are
 broadcast, and one small row a document, not its text, is shuffled.
@@ -96,15 +96,15 @@ def is_copyright_line(line: Column) -> Column:
     return F.lower(line).rlike(COPYRIGHT)
 
 
-def canonical_line(line: Column) -> Column:
-    out = F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def canonical(text: Column) -> Column:
+    out = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
-    return F.when(is_copyright_line(line), F.lit("")).otherwise(out)
+    return out
 
 
-def canonical_lines(text: Column) -> Column:
-    return F.transform(split_lines(text), canonical_line)
+def canonical_line(line: Column) -> Column:
+    return F.when(is_copyright_line(line), F.lit("")).otherwise(canonical(line))
 
 
 def split_lines(text: Column) -> Column:
@@ -112,7 +112,10 @@ def split_lines(text: Column) -> Column:
 
 
 def whole(lines: Column) -> Column:
-    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+    """Lines as one canonical text. A line that begins with (c) in a text with a (b) is an item of a list."""
+    lettered = F.array_join(lines, " ").rlike(r"\([bB]\)")
+    item = lambda x: lettered & x.rlike(r"^\s*\([cC]\)")
+    return canonical(F.array_join(F.filter(lines, lambda x: ~is_copyright_line(x) | item(x)), " "))
 
 
 def head(line: Column) -> Column:
@@ -124,8 +127,7 @@ def head(line: Column) -> Column:
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """license, digest; one row a digest (the first licence by name)."""
     rows = rows_frame(spark, known_texts() if known is None else known, license="string", text="string")
-    canonical = whole(canonical_lines(F.col("text"))).alias("canonical")
-    return rows.select("license", canonical).groupBy("canonical").agg(F.min("license").alias("license")).select(
+    return rows.select("license", whole(split_lines(F.col("text"))).alias("canonical")).groupBy("canonical").agg(F.min("license").alias("license")).select(
         F.sha2("canonical", 256).alias("digest"), "license", head(F.col("canonical")).alias("head"))
 
 
@@ -148,7 +150,7 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), split_lines(text).alias("lines")).select(
         "id", "row", "lines", F.size(F.filter("lines", is_copyright_line)).cast("long").alias("copyright_lines"),
         F.try_element_at(F.filter("lines", lambda x: (head(x) != "") & ~is_copyright_line(x)), F.lit(1)).alias("first"))
-    entire = F.when(may_match(F.col("first")), F.sha2(whole(F.transform("lines", canonical_line)), 256))
+    entire = F.when(may_match(F.col("first")), F.sha2(whole(F.col("lines")), 256))
     single = F.transform(F.filter("lines", may_match), lambda x: F.struct(
         F.lit(False).alias("entire"), F.sha2(canonical_line(x), 256).alias("digest")))
     units = rows.select("id", "row", "copyright_lines", F.inline(F.concat(

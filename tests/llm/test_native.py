@@ -1,6 +1,7 @@
 """Licences, chats, shards, URL rules and mixtures on cases of their own."""
 
 import hashlib
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,20 @@ def test_complete_license_texts(spark):
     assert [(got[i], w) for i, (w, _) in enumerate(cases) if got[i] != w] == []
 
 
+def test_license_texts_in_any_wrapping(spark):
+    files = {f.stem: f.read_text() for f in licenses.FILES.glob("*.txt")}
+    short = [("MIT", licenses.TEXTS[0][1]), *((i, files[i]) for i in ("BSD-3-Clause", "BSL-1.0", "Unlicense", "Zlib"))]
+
+    def wrapped(text, width):
+        return "\n\n".join(textwrap.fill(p, width, break_on_hyphens=False) for p in text.split("\n\n"))
+
+    cases = [(i, wrapped(t, w)) for i, t in short for w in range(50, 121)]
+    cases += [(i, wrapped(files[i], w)) for i in ("Apache-2.0", "MPL-2.0") for w in (60, 75, 92, 10_000)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df, licenses.known_digests(spark)).collect()}
+    assert [(w, t[:80], got[i]) for i, (w, t) in enumerate(cases) if got[i] != w] == []
+
+
 def test_license_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, "MIT License"), (1, "Released under the MIT License"), (1, "Released under the MIT License"), (None, None)], "doc_id long, text string")
     got = licenses.scan(df, licenses.known_digests(spark)).collect()
