@@ -2,26 +2,35 @@
 
 Each source's rows form blocks. Its j-th block may not run before its release
 ``floor(j / w)`` and must run before its deadline ``ceil((j + 1) / w)``, w being the source's
-share of the slots; in every slot the released block with the earliest deadline runs. On one
-resource this meets every deadline, so after any number of slots each source is less than one
-block away from its target. Weights are rounded to shares c / period of about ``resolution``
-slots, so that the schedule repeats: one period is simulated by a fold in SQL over its slots,
-and block k of a source runs in period k div c. When a source has no rows left its slots stay
-empty; all other rows keep their order and none is dropped or repeated.
-
-Distribution: the schedule of a period has at most ``resolution`` plus one slot a source and is
-broadcast. Rows are numbered within their source by bins, as in ``sharding``: counts by
-(source, bin), running sums of these, and a window over each bin. A source with a third of all
-rows is spread over all of its bins.
+weight over the sum of all weights, exactly; in every slot the released block with the earliest
+deadline runs. On one resource this meets every deadline, so after any number of slots each source
+is less than one block away from its target, until its rows end. When a source has no rows left
+its slots stay empty; all other rows keep their order and none is dropped or repeated.
+
+Distribution: the driver gets one row a source (weight and number of rows) and runs through the blocks
+once with two heaps, in exact integers; slots, releases and deadlines go back as arrays of ``PART``
+blocks, broadcast up to ``BROADCAST_BLOCKS`` blocks and joined by a shuffle beyond. Rows are numbered
+within their source by bins, as in ``sharding``: counts by (source, bin), running sums of these, and a
+window over each bin. A source with a third of all rows is spread over all of its bins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import heapq
+import math
+from array import array
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import md5_long, table
 
+#: Blocks in one row of the schedule, and the longest schedule that is broadcast (24 bytes a block).
+PART, BROADCAST_BLOCKS = 4096, 1_000_000
+
 
 def temperature_weights(docs: DataFrame, exponent: float = 0.5, source_col: str = "source") -> DataFrame:
     """Target weights (source, weight): row counts to a power, which lifts small sources."""
@@ -32,7 +41,8 @@ def temperature_weights(docs: DataFrame, exponent: float = 0.5, source_col: str
 
 
 def period(weights: DataFrame, resolution: int = 1000) -> DataFrame:
-    """One period of the schedule: source, share, period, j, slot, release, deadline."""
+    """One period of the schedule of weights rounded to shares of ``resolution``: source, share, period, j,
+    slot, release, deadline. ``mix`` does not round and has no use for it."""
     shares = weights.agg(F.sum("weight").alias("total"), F.collect_list(F.struct("source", "weight")).alias("all")).select(
         F.array_sort(F.transform("all", lambda x: F.struct(
             x["source"].alias("source"),
@@ -55,49 +65,85 @@ def period(weights: DataFrame, resolution: int = 1000) -> DataFrame:
     )
 
 
+def schedule(weights: dict[str, float], blocks: dict[str, int]) -> dict[str, tuple[array, array, array]]:
+    """Slots, releases and deadlines of the blocks of every source; weights are taken as exact fractions."""
+    exact = {s: Fraction(weights[s]) for s in sorted(weights)}
+    scale = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
+    share = {s: int(w * scale) for s, w in exact.items()}
+    total = sum(share.values())
+    names = [s for s in share if blocks.get(s, 0) > 0]
+    parts, ends = [share[s] for s in names], [blocks[s] for s in names]
+    out = [(array("q"), array("q"), array("q")) for _ in names]
+    waiting, ready, t = [(0, i) for i in range(len(names))], [], 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            release, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(len(out[i][0]) + 1) * total // parts[i]), i, release))
+        deadline, i, release = heapq.heappop(ready)
+        for column, x in zip(out[i], (t, release, deadline)):
+            column.append(x)
+        if (done := len(out[i][0])) < ends[i]:
+            heapq.heappush(waiting, (done * total // parts[i], i))
+        t += 1
+    return dict(zip(names, out, strict=True))
+
+
+def _frame(spark: SparkSession, plan: dict[str, tuple[array, array, array]]) -> DataFrame:
+    """The schedule as rows of up to ``PART`` blocks of a source, without an object a block."""
+    at = [(s, k) for s, runs in plan.items() for k in range(0, len(runs[0]), PART)]
+    lists = [pa.array([np.frombuffer(plan[s][c], dtype="int64")[k : k + PART] for s, k in at], pa.list_(pa.int64())) for c in range(3)]
+    columns = [pa.array([s for s, _ in at], pa.string()), pa.array([k // PART for _, k in at], pa.int64()), *lists]
+    return spark.createDataFrame(pa.table(columns, names=["__source", "__part", "__slot", "__release", "__deadline"]))
+
+
 def mix(
-    docs: DataFrame, weights: DataFrame | None = None, block_rows: int = 16, resolution: int = 1000, bins: int = 256,
+    docs: DataFrame, weights: DataFrame | None = None, block_rows: int = 16, bins: int = 256,
     max_sources: int = 2000, id_col: str = "doc_id", source_col: str = "source", keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Id, source, block, slot, seq, release, deadline for every row (plus columns ``keep``).
 
     Sorting by (slot, seq) gives the mixture. A null source is the source with the empty name.
     Rows of sources without a weight are an error, as are more than ``max_sources`` sources: they are the
-    mixture's design and must be few. Weights that are null or not positive count as the
-    smallest share. Ties and repeated rows are numbered in an order of their own; an empty table
+    mixture's design and must be few. Weights of a repeated source add up; those that are null or not positive count as the
+    smallest of the others. Ties and repeated rows are numbered in an order of their own; an empty table
     gives an empty result. Other columns are dropped."""
+    spark = docs.sparkSession
     weights = temperature_weights(docs, source_col=source_col) if weights is None else weights.select(
-        F.coalesce("source", F.lit("")).alias("source"), F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight"))
-    named = weights.select("source").distinct().limit(max_sources + 1).count()
-    if named > max_sources:
+        F.coalesce("source", F.lit("")).alias("source"), F.col("weight").cast("double").alias("weight")).groupBy("source").agg(F.sum("weight").alias("weight"))
+    given = {r["source"]: r["weight"] or 0.0 for r in weights.limit(max_sources + 1).collect()}
+    if len(given) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    plan = F.broadcast(period(weights, resolution))
+    if not all(math.isfinite(w) for w in given.values()):
+        raise ValueError("weights must be finite")
+    least = min((w for w in given.values() if w > 0), default=1.0)
+    given = {s: w if w > 0 else least for s, w in given.items()}
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rest = [c for c in keep if c not in (id_col, source_col)]
     rows = docs.select(
         F.col(id_col), F.coalesce(source_col, F.lit("")).alias("__source"), *rest,
         (md5_long(key) % bins).cast("int").alias("__bin"),
     )
+    sizes = {r[0]: r[1] for r in rows.groupBy("__source").count().limit(max_sources + 1).collect()}
+    if missing := sorted(sizes.keys() - given.keys()):
+        raise ValueError(f"no weight for source {missing[0]}")
+    plan = schedule(given, {s: -(-n // block_rows) for s, n in sizes.items()})
+    slots = _frame(spark, plan)
+    slots = F.broadcast(slots) if sum(len(runs[0]) for runs in plan.values()) <= BROADCAST_BLOCKS else slots
     counts = rows.groupBy("__source", "__bin").agg(F.count("*").alias("n"))  # at most max_sources * bins rows
     before = Window.partitionBy("__source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__source", "__bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    starts = F.broadcast(starts) if named * bins <= 1_000_000 else starts
+    starts = F.broadcast(starts) if len(given) * bins <= 1_000_000 else starts
     within = Window.partitionBy("__source", "__bin").orderBy(id_col)
     at = F.col("__start") + F.row_number().over(within) - 1
     numbered = rows.join(starts, ["__source", "__bin"]).withColumn("__at", at).withColumn("block", F.expr(f"__at div {block_rows}"))
-    shares = plan.select(F.col("source").alias("__s"), "share", "period", "j", "slot", "release", "deadline")
-    per_source = F.broadcast(plan.select(F.col("source").alias("__source"), F.col("share").alias("__c")).distinct())
-    return (
-        numbered.join(per_source, "__source", "left")
-        .withColumn("__c", F.coalesce("__c", F.raise_error(F.concat(F.lit("no weight for source "), "__source")).cast("long")))
-        .withColumn("__j", F.col("block") % F.col("__c"))
-        .join(F.broadcast(shares), (F.col("__source") == F.col("__s")) & (F.col("__j") == F.col("j")))
-        .withColumn("__base", F.expr("(block div __c) * period"))
-        .select(
-            id_col, F.col("__source").alias(source_col), "block", (F.col("__base") + F.col("slot")).alias("slot"),
-            (F.col("__at") % block_rows).cast("int").alias("seq"),
-            (F.col("__base") + F.col("release")).alias("release"), (F.col("__base") + F.col("deadline")).alias("deadline"), *rest)
-    )
+    placed = numbered.withColumn("__part", F.expr(f"block div {PART}")).join(slots, ["__source", "__part"], "left")
+    of_block = lambda c: F.coalesce(F.get(c, F.expr(f"int(block % {PART})")), F.raise_error(F.lit("rows changed while they were mixed")).cast("long"))
+    return placed.select(
+        id_col, F.col("__source").alias(source_col), "block", of_block("__slot").alias("slot"),
+        (F.col("__at") % block_rows).cast("int").alias("seq"),
+        of_block("__release").alias("release"), of_block("__deadline").alias("deadline"), *rest)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Licences, chats, shards, URL rules and mixtures on cases of their own."""
 
 import hashlib
+import math
 import textwrap
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +168,35 @@ def test_schedule_meets_deadlines_and_targets(spark, weights):
         assert all(abs(run[s] - t * share[s] / len(rows)) < 1 for s in names)
 
 
+@pytest.mark.parametrize("weights", [
+    {"hot": 0.13958, **{f"s{i:02}": 0.86042 / 19 for i in range(19)}}, {"a": 0.9999, "b": 0.0001}, {"a": 2**0.5, "b": 3**0.5, "c": 1.0}])
+def test_mixing_stays_within_a_block_of_exact_weights(weights):
+    total = sum(map(Fraction, weights.values()))
+    w = {s: Fraction(x) / total for s, x in weights.items()}
+    ends = {s: int(x * 40_000) for s, x in w.items()}
+    ends[max(ends, key=ends.get)] //= 2  # one ends early
+    plan = mixing.schedule(weights, ends)
+    assert {s: len(r[0]) for s, r in plan.items()} == {s: n for s, n in ends.items() if n}
+    taken = [t for r in plan.values() for t in r[0]]
+    assert len(taken) == len(set(taken))
+    for s, runs in plan.items():
+        for j, (t, release, deadline) in enumerate(zip(*runs)):
+            assert (release, deadline) == (math.floor(j / w[s]), math.ceil((j + 1) / w[s])) and release <= t < deadline
+            assert abs(j - t * w[s]) < 1 and abs(j + 1 - (t + 1) * w[s]) < 1
+
+
+def test_mixed_rows_follow_the_exact_weights(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 60 == 0, "b").otherwise("a").alias("source"))
+    w = spark.createDataFrame([("a", 0.9999), ("b", 0.0001)], "source string, weight double")
+    rows = mixing.mix(docs, w, block_rows=1).collect()
+    assert len(rows) == 6000 and len({r["slot"] for r in rows}) == 6000
+    share = {"a": Fraction(0.9999), "b": Fraction(0.0001)}
+    for r in rows:
+        x = share[r["source"]] / sum(share.values())
+        assert (r["release"], r["deadline"]) == (math.floor(r["block"] / x), math.ceil((r["block"] + 1) / x))
+        assert r["release"] <= r["slot"] < r["deadline"]
+
+
 def test_mixing_keeps_all_rows(spark):
     docs = spark.createDataFrame([(i, "a" if i % 3 else None, i) for i in range(500)] + [(7, "a", 0)], "doc_id long, source string, slot long")
     rows = mixing.mix(docs, block_rows=8).collect()
