@@ -457,6 +457,13 @@ def char_similarity_ascii(spark, d):
     return rows.select("line_id", F.when(ascii_, T.char_similarity(C("text"), C("nxt"))).alias("similarity"))
 
 
+@query()
+def char_similarity(spark, d):
+    """All neighbouring lines, in code points; DuckDB counts bytes, so SQL can check only ASCII (``char_similarity_ascii``)."""
+    rows = lines(spark, d).withColumn("nxt", F.lead("text").over(in_page()))
+    return rows.select("line_id", F.when(C("nxt").isNotNull(), T.char_similarity(C("text"), C("nxt"))).alias("similarity"))
+
+
 @query()
 def token_alignment(spark, d):
     a = align.align_tokens(noisy(C("text")), C("text"), band=16)
