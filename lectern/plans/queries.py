@@ -466,9 +466,9 @@ def char_similarity(spark, d):
 
 @query()
 def token_alignment(spark, d):
-    a = align.align_tokens(noisy(C("text")), C("text"), band=16)
+    a = align.align_tokens(noisy(C("text")), C("text"))
     return lines(spark, d).select("line_id", a.alias("a")).select(
-        "line_id", F.size("a.pairs").alias("pairs"), F.round("a.score", 6).alias("score"), "a.move_suspected")
+        "line_id", F.size("a.pairs").alias("pairs"), F.round("a.score", 6).alias("score"), "a.move_suspected", "a.band_exhausted")
 
 
 @query()
