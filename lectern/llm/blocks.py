@@ -2,7 +2,8 @@
 
 Large groups are dealt out as pairs of blocks: a row goes to every pair that its block is part
 of, so any two rows meet exactly once as (block, block) or inside their block, no task holds
-more than two blocks, and only counts and spanning edges leave the task."""
+more than two blocks, and only counts and stars leave the task. Rows are sorted by node, so the first row of a
+component is its smallest node."""
 
 from __future__ import annotations
 
@@ -10,16 +11,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Groups up to this size are compared pair by pair over many groups at once.
 SMALL = 8
 
 
-def deal_blocks(rows: DataFrame, key: str, size: str, node: str, block_rows: int) -> DataFrame:
-    """Rows with (block, lo, hi), sorted by (key, lo, hi, node) within partitions."""
-    n = F.ceil(F.col(size) / block_rows).cast("int")
+def deal_blocks(rows: DataFrame, key: str, blocks: Column, node: str) -> DataFrame:
+    """Rows with (block, lo, hi), sorted by (key, lo, hi, node) within partitions; ``blocks`` is the group's number of blocks."""
+    n = blocks.cast("int")
     return (
         rows.withColumn("block", F.pmod(F.xxhash64(F.lit(7), node), n).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
@@ -56,8 +58,8 @@ def _firsts(t: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
     new = np.zeros(t.num_rows, bool)
     new[0] = True
     for k in keys:
-        x = t.column(k).to_numpy()
-        new[1:] |= x[1:] != x[:-1]
+        x = t.column(k).combine_chunks() if isinstance(t.column(k), pa.ChunkedArray) else t.column(k)
+        new[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
     return np.flatnonzero(new)
 
 
@@ -66,12 +68,13 @@ def byte_rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def spanning(n: int, first: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span the components of the relation ``alike`` within each group of rows 0..n-1."""
+def stars(n: int, first: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, root) for the rows 0..n-1 that the relation ``alike`` connects within their group; root: the component's first row."""
     end = np.append(first[1:], n)
     sizes = end - first
     group = np.repeat(np.arange(len(first)), sizes)
     small = (sizes <= SMALL)[group]
+    root = np.arange(n)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(1, SMALL):
         i = np.flatnonzero((group[:-d] == group[d:]) & small[:-d]) if n > d else np.zeros(0, np.int64)
@@ -80,33 +83,39 @@ def spanning(n: int, first: np.ndarray, alike: Callable[[np.ndarray, np.ndarray]
         ok = alike(i, i + d)
         left.append(i[ok])
         right.append(i[ok] + d)
+    a, b = np.concatenate(left), np.concatenate(right)
+    while len(a):  # the least root goes along the edges until nothing changes; at most SMALL steps
+        before = root.copy()
+        np.minimum.at(root, b, root[a])
+        np.minimum.at(root, a, root[b])
+        if (before == root).all():
+            break
     for g in np.flatnonzero(sizes > SMALL):
         rest = np.arange(first[g], end[g])
         while len(rest):
-            frontier, rest = [rest[0]], rest[1:]
+            start, frontier, rest = rest[0], [rest[0]], rest[1:]
             while frontier and len(rest):
                 u = frontier.pop()
                 ok = alike(np.full(len(rest), u), rest)
                 if ok.any():
-                    hit = rest[ok]
-                    left.append(np.full(len(hit), u))
-                    right.append(hit)
-                    frontier.extend(hit.tolist())
+                    root[rest[ok]] = start
+                    frontier.extend(rest[ok].tolist())
                     rest = rest[~ok]
-    return np.concatenate(left), np.concatenate(right)
+    moved = np.flatnonzero(root != np.arange(n))
+    return moved, root[moved]
 
 
-def roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id in each row's component of a symmetric boolean matrix."""
-    out = ids.copy()
-    left = np.ones(len(ids), bool)
-    for s in np.argsort(ids, kind="stable"):
+def first_rows(linked: np.ndarray) -> np.ndarray:
+    """The first row in each row's component of a symmetric boolean matrix."""
+    n = len(linked)
+    out, left = np.arange(n), np.ones(n, bool)
+    for s in range(n):
         if not left[s]:
             continue
-        front = np.array([s])
         left[s] = False
+        front = np.array([s])
         while len(front):
-            out[front] = ids[s]
+            out[front] = s
             near = linked[front].any(0) & left
             left[near] = False
             front = np.flatnonzero(near)

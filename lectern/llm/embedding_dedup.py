@@ -1,7 +1,7 @@
 """Embedding near-duplicates with randomised-rotation binary codes.
 
 Vectors of the same label and a cosine of at least ``THRESHOLD`` are linked. A unit vector x is
-rotated by a random orthogonal matrix; its code is the signs of the result, and
+padded to a power of two and rotated by random sign flips and Hadamard transforms; its code is the signs of the result, and
 ``f = <rotated x, code / sqrt(D)>`` is stored with it. ``<rotated q, code> / f`` is then an unbiased
 estimate of the cosine of q and x, with an error of about
 ``sqrt(1 - f^2) / f * sqrt(1 - cos^2) / sqrt(D - 1)`` times a standard normal; a pair whose estimate plus
@@ -13,8 +13,8 @@ largest coordinate, with its sign, under ``m`` further rotations. m follows from
 label so that buckets stay small, T from m so that a pair at the threshold shares no key with
 probability ``MISS`` at most; both work alike at every size.
 
-Equal vectors are one node. Within a bucket estimates reduce the nodes to spanning edges, and
-these to components; in every component all pairs are estimated and, where needed, recomputed in
+Equal vectors are one node. Within a bucket the pairs that the estimates let through are compared in 8 bits, whose error
+has a strict bound, and the nodes reduced to stars, and these to components, which so hold hardly a pair under the threshold; in every component all pairs are estimated and, where needed, recomputed in
 pairs of blocks (see ``blocks``); only counts and roots leave the tasks.
 """
 
@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import byte_rows, deal_blocks, groups, roots, spanning
-from .common import cut, table
+from .blocks import byte_rows, deal_blocks, first_rows, groups, stars
+from .common import cut, node_id, node_key, table
 from .graph import components
 from .words import mixed
 
@@ -41,20 +41,54 @@ BLOCK_ROWS = 1024
 BUCKET_ROWS = 8192
 
 
-_rotations: dict[tuple[int, int], np.ndarray] = {}
+#: Rotations up to this many numbers are kept as one matrix; beyond, each is computed as it is needed.
+MATRIX = 1 << 22
+_rotations: dict[tuple[int, int, int], np.ndarray] = {}
 
 
-def rotation(dims: int, n: int) -> np.ndarray:
-    """n random orthogonal matrices side by side: dims x (n * dims)."""
-    if (dims, n) not in _rotations:
-        rng = np.random.default_rng([11, dims])
-        made = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(n)]
-        _rotations[dims, n] = np.concatenate(made, 1)
-    return _rotations[dims, n]
+def padded(dims: int) -> int:
+    return 1 << max(0, dims - 1).bit_length()
+
+
+def _hadamard(x: np.ndarray) -> np.ndarray:
+    """Walsh-Hadamard transform of the rows (their length is a power of two), without a factor."""
+    n, p = x.shape
+    step = 1
+    while step < p:
+        y = x.reshape(n, p // (2 * step), 2, step)
+        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(n, p)
+        step *= 2
+    return x
+
+
+def _spin(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th rotation of rows that are padded to a power of two: three random sign flips, each with a transform."""
+    p = x.shape[1]
+    flips = np.random.default_rng([11, p, k]).integers(0, 2, (3, p)) * 2.0 - 1.0
+    for f in flips:
+        x = _hadamard(x * f) / math.sqrt(p)
+    return x
+
+
+def rotated(x: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Rows under the rotations first..last-1: rows x rotations x padded dimensions.
+
+    A rotation costs p log p steps a row and 3 p signs, so neither time nor memory grows with the square of the dimensions."""
+    n, dims = x.shape
+    p, count = padded(dims), last - first
+    if dims * p * count > MATRIX:
+        wide = np.zeros((n, p))
+        wide[:, :dims] = x
+        return np.stack([_spin(wide, k) for k in range(first, last)], 1)
+    key = (dims, first, last)
+    if key not in _rotations:
+        _rotations[key] = np.concatenate([_spin(np.eye(dims, p), k) for k in range(first, last)], 1)
+    return (x @ _rotations[key]).reshape(n, count, p)
 
 
 def meeting(dims: int, threshold: float) -> float:
     """The chance that a pair at the threshold has the same largest coordinate and sign."""
+    dims = padded(dims)
     rng = np.random.default_rng([12, dims])
     x = rng.standard_normal((20_000, dims))
     y = threshold * x + math.sqrt(1 - threshold**2) * rng.standard_normal((20_000, dims))
@@ -65,7 +99,7 @@ def meeting(dims: int, threshold: float) -> float:
 
 def plan(largest: int, dims: int, threshold: float) -> tuple[int, int]:
     """(m, T) for labels of up to ``largest`` vectors."""
-    m = max(1, math.ceil(math.log(max(largest, 1) / BUCKET_NODES) / math.log(2 * dims + 1)))
+    m = max(1, math.ceil(math.log(max(largest, 1) / BUCKET_NODES) / math.log(2 * padded(dims) + 1)))
     p = meeting(dims, threshold) ** m
     return m, math.ceil(math.log(MISS) / math.log(1 - p)) if p < 1 else 1
 
@@ -73,26 +107,28 @@ def plan(largest: int, dims: int, threshold: float) -> tuple[int, int]:
 def bucket_keys(x: np.ndarray, labels: list[str], m: int, tables: int) -> np.ndarray:
     """A row of keys for each unit vector."""
     n, dims = x.shape
-    spins = rotation(dims, m * tables + 1)[:, dims:]
     key = np.array([xxhash.xxh3_64_intdigest(f"{dims}:{v}") for v in labels], np.uint64)
     out = np.zeros((n, tables), np.uint64)
     for a in range(0, n, 256):
-        z = (x[a : a + 256] @ spins).reshape(-1, tables, m, dims)
-        top = np.abs(z).argmax(3)
-        sign = np.take_along_axis(z, top[..., None], 3)[..., 0] > 0
-        symbol = (2 * top + sign + 1).astype(np.uint64)
         k = np.repeat(key[a : a + 256, None], tables, 1) + np.arange(1, tables + 1, dtype=np.uint64)
-        for c in range(m):
-            k = mixed(k * np.uint64(0x9E3779B97F4A7C15) + symbol[:, :, c])
+        some = max(1, (1 << 20) // (256 * padded(dims) * m))  # tables at a time
+        for t in range(0, tables, some):
+            u = min(tables, t + some)
+            z = rotated(x[a : a + 256], 1 + t * m, 1 + u * m).reshape(-1, u - t, m, padded(dims))
+            top = np.abs(z).argmax(3)
+            sign = np.take_along_axis(z, top[..., None], 3)[..., 0] > 0
+            symbol = (2 * top + sign + 1).astype(np.uint64)
+            for c in range(m):
+                k[:, t:u] = mixed(k[:, t:u] * np.uint64(0x9E3779B97F4A7C15) + symbol[:, :, c])
         out[a : a + 256] = k
     return out.view(np.int64)
 
 
 def codes(x: np.ndarray) -> np.ndarray:
     """A row of bytes a unit vector: rotated in 8 bits, the step of these, the correction factor."""
-    z = x @ rotation(x.shape[1], 1)
+    z = rotated(x, 0, 1)[:, 0]
     step = np.maximum(np.abs(z).max(1), 1e-30) / 127
-    f = np.abs(z).sum(1) / math.sqrt(x.shape[1])
+    f = np.abs(z).sum(1) / math.sqrt(z.shape[1])
     small = np.rint(z / step[:, None]).astype(np.int8)
     return np.concatenate([small.view(np.uint8), np.stack([step, f], 1).astype(np.float32).view(np.uint8)], 1)
 
@@ -110,12 +146,17 @@ class Estimates:
         off = np.sqrt(np.maximum(1 - self.f**2, 0)) / self.f * math.sqrt(1 - threshold**2)
         off = SIGMAS * off / math.sqrt(self.dims - 1) if self.dims > 1 else off + 2
         self.least = threshold - off - 2 * rounding - 1e-6
+        self.off, self.threshold = step * math.sqrt(self.dims) / 2, threshold
 
     def pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         ok = np.empty(len(i), bool)
         for a in range(0, len(i), 1 << 15):
             x, y = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
-            ok[a : a + (1 << 15)] = np.einsum("ij,ij->i", self.q[x], self.b[y]) / self.f[y] >= self.least[y]
+            some = np.einsum("ij,ij->i", self.q[x], self.b[y]) / self.f[y] >= self.least[y]
+            x, y = x[some], y[some]  # what is left is compared in 8 bits, whose error has a strict bound
+            error = self.off[x] + self.off[y] + self.off[x] * self.off[y] + 1e-6
+            some[some] = np.einsum("ij,ij->i", self.q[x], self.q[y]) >= self.threshold - error
+            ok[a : a + (1 << 15)] = some
         return ok
 
     def block(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -173,15 +214,14 @@ def _runs(t: pa.Table, first: np.ndarray, column: str):
             a = g + 1
 
 
-def _bucket_edges(threshold: float):
+def _bucket_stars(threshold: float):
     def run(batches):
         for t, first in groups(batches, ("key", "lo", "hi")):
             for lo, hi, starts in _runs(t, first, "code"):
                 part = t.slice(lo, hi - lo)
-                node, rows = part.column("node").to_numpy(), part.column("code").to_pylist()
-                e = Estimates(byte_rows(part.column("code"), len(rows[0])), threshold)
-                a, b = spanning(len(node), starts, e.pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+                node, width = part.column("node"), len(part.column("code")[0].as_py())
+                a, b = stars(len(node), starts, Estimates(byte_rows(part.column("code"), width), threshold).pairs)
+                yield pa.RecordBatch.from_arrays([node.take(a).combine_chunks(), node.take(b).combine_chunks()], ["a", "b"])
 
     return run
 
@@ -189,10 +229,10 @@ def _bucket_edges(threshold: float):
 def _verify(threshold: float):
     def run(batches):
         for t, first in groups(batches, ("key", "lo", "hi"), rows=1024):
-            node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
+            node, copies = t.column("node"), t.column("copies").to_numpy()
             block, los, his = (t.column(c).to_numpy() for c in ("block", "lo", "hi"))
             raw, code = t.column("raw").to_pylist(), t.column("code").to_pylist()
-            links, root = np.zeros(len(node), np.int64), node.copy()
+            links, root = np.zeros(len(node), np.int64), np.arange(len(node))
             for a, b in zip(first.tolist(), np.append(first[1:], len(node)).tolist()):
                 v = np.stack([np.frombuffer(x, np.float64) for x in raw[a:b]])
                 norm = np.linalg.norm(v, axis=1)
@@ -211,8 +251,10 @@ def _verify(threshold: float):
                         linked[x[ok], y[ok]] = True
                 linked |= linked.T
                 links[a:b] = linked.astype(np.float64) @ copies[a:b]
-                root[a:b] = roots(linked, node[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(root)], ["node", "links", "root"])
+                root[a:b] = a + first_rows(linked)
+            yield pa.RecordBatch.from_arrays(
+                [node.combine_chunks(), pa.array(links), node.take(root).combine_chunks(), t.column("parts").combine_chunks()],
+                ["node", "links", "root", "parts"])
 
     return run
 
@@ -224,8 +266,8 @@ def cosine_classes(
     (the smallest id reachable), kept (it is the component's own id).
 
     Null labels, null ids and vectors that are null, empty, zero or hold a null, an infinity or no number link with
-    nothing; so do vectors of different lengths with each other. Rows that repeat an id are
-    copies of one vector. Other columns are dropped."""
+    nothing; so do vectors of different lengths with each other. Nodes are (id, digest of label and vector), so rows that repeat
+    an id are judged each by its own vector. An empty table gives an empty result. Other columns are dropped."""
     read = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"),
                           F.col(vector_col).cast("array<double>").alias("vector"))
     largest, dims = (
@@ -236,29 +278,33 @@ def cosine_classes(
     signed = cut(read.mapInArrow(_prepare(m, tables), "id long, digest binary, raw binary, code binary, keys array<long>"))
     nodes = cut(
         signed.where("digest is not null and id is not null").groupBy("digest")
-        .agg(F.min("id").alias("node"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("raw", "code", "keys")])
+        .agg(F.min("id").alias("id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("raw", "code", "keys")])
+        .withColumn("node", node_key("id", "digest"))
     )
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = keyed.join(shared, "key").join(nodes.select("node", "code"), "node")
-    edges = deal_blocks(met, "key", "size", "node", BUCKET_ROWS).select("key", "lo", "hi", "node", "code").mapInArrow(
-        _bucket_edges(threshold), "a long, b long")
+    edges = deal_blocks(met, "key", F.ceil(F.col("size") / BUCKET_ROWS), "node").select("key", "lo", "hi", "node", "code").mapInArrow(
+        _bucket_stars(threshold), "a binary, b binary")
     found = components(edges)
     members = found.select("node", F.col("root").alias("key")).unionByName(
         found.select(F.col("root").alias("node"), F.col("root").alias("key")).distinct())
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
     rows = members.join(sizes, "key").join(nodes.select("node", "copies", "raw", "code"), "node")
     verified = cut(
-        deal_blocks(rows, "key", "size", "node", BLOCK_ROWS)
-        .select("key", "lo", "hi", "block", "node", "copies", "raw", "code")
-        .mapInArrow(_verify(threshold), "node long, links long, root long")
+        deal_blocks(rows, "key", F.col("parts"), "node")
+        .select("key", "lo", "hi", "block", "node", "copies", "raw", "code", "parts")
+        .mapInArrow(_verify(threshold), "node binary, links long, root binary, parts int")
     )
-    links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = verified.groupBy("node").agg(F.sum("links").alias("links"), F.max("parts").alias("parts"), F.first("root").alias("own"))
+    # a component that was one block knows its roots; only those of several blocks need to be connected
+    joined = components(verified.where("parts > 1").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked = links.join(joined, "node", "left").select(
+        "node", "links", F.coalesce("root", F.when(F.col("parts") == 1, F.col("own")), "node").alias("root"))
     special = (
-        nodes.select("digest", "node", "copies").join(links, "node", "left").join(classes, "node", "left")
+        nodes.select("digest", "node", "copies").join(linked, "node", "left")
         .where("copies > 1 or links > 0")
-        .select("digest", F.coalesce("root", "node").alias("class"),
+        .select("digest", node_id(F.coalesce("root", "node")).alias("class"),
                 (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
     return (
@@ -271,6 +317,7 @@ def cosine_classes(
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every vector (see ``cosine_classes``)."""
     return cosine_classes(table(spark, sf_dir, "embeddings"))
 
 

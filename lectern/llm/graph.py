@@ -11,28 +11,23 @@ from .common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) but the roots; root: the smallest node reachable.
 
-    Alternating large-star and small-star rounds until the edges no longer change; after each
-    round the edges, at most as many as before, are written to the shared folder. Loops and
-    repeated edges do no harm; no edges give an empty result."""
-    now = _round(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
-        frame, mark = now
-        if mark[0] == 0:
-            break
-        both = frame.unionByName(frame.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    Alternating large-star and small-star rounds until the edges are stars: every node has one
+    parent and no parent has one. After each round the edges, at most as many as before, are written to the shared
+    folder. Nodes may be of any ordered type. Loops and repeated edges do no harm; no edges give an empty result."""
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _stars(now):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        small = small.select("a", F.col("m").alias("b")).unionByName(
-            small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        now = _round(small)
-        if now[1] == mark:
-            break
-    return now[0].select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    kept = cut(edges)
-    n, mark = kept.agg(F.count("*"), F.sum((F.xxhash64("a", "b") % 1_000_000_007).cast("decimal(38,0)"))).first()
-    return kept, (n, mark)
+        now = cut(small.select(F.explode(F.when(F.col("b") == F.col("m"), F.array(F.struct("a", F.col("m").alias("b")))).otherwise(
+            F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).alias("e")).select("e.*").distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("child")),
+                                          F.struct(F.col("b").alias("node"), F.lit(0).alias("child")))).alias("e")).select("e.*")
+    per = ends.groupBy("node").agg(F.sum("child").alias("parents"), F.min("child").alias("least"))
+    return per.where("parents > 1 or (parents = 1 and least = 0)").limit(1).count() == 0

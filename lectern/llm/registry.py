@@ -9,7 +9,7 @@ from .html_extract import op1_html_extract
 from .language_id import op2_language_id
 from .licenses import OP3_SQL, op3_license_scan
 from .mixing import OP9_SQL, op9_mixing
-from .ngram_join import op10_ngram_jaccard
+from .ngram_join import OP10_SQL, op10_ngram_jaccard
 from .sharding import OP6_SQL, op6_sharding
 from .url_filter import OP8_SQL, op8_url_filter
 
@@ -32,4 +32,5 @@ SQL = {
     "op6_sharding": OP6_SQL,
     "op8_url_filter": OP8_SQL,
     "op9_mixing": OP9_SQL,
+    "op10_ngram_jaccard": OP10_SQL,
 }
