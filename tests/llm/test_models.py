@@ -43,7 +43,7 @@ def test_messages_give_exact_marginals(extractor):
 def test_held_out_pages(extractor):
     bad = total = 0
     for source in labelled_pages(200, seed=99):
-        p = html_extract.parse(source)
+        p = html_extract.parse(source, labelled=True)
         q = html_extract.marginals(extractor, html_extract.forest([p]))
         for node, text in p.texts:
             if node >= 0 and text.strip():
@@ -64,6 +64,11 @@ HOSTILE = [
     ("", ""), ("<article><p>a&amp;b &eacute;&#8212;&nbsp;c</p></article>", "a&b é— c"), ("<article><p>one<p>two<br>three</article>", "one two three"),
     ("<article><p>w<b>or</b>d <!-- x > y --> end</article>", "word end"), ('<nav><a href="a>b">menu</a></nav><article><p>text of it</article>', "text of it"),
     ("<article><p>a < b and c</p></article>", "a < b and c"), ("<article><p>long text here<script>var a='</p>';</script> more</p></article>", "long text here more"),
+    ("<article><p data=it's>Main text one.</p><p>We don't stop</p></article>", "Main text one. We don't stop"),
+    ('<article><p data-y="12.5">text with a mark</p><p data-y="">and more of it</p></article>', "text with a mark and more of it"),
+    ("<p>abc and more words</p><select><option>x</option><article><p>the text goes on</p></article>", "abc and more words x the text goes on"),
+    ('<article><p>long text here</p><script src="a.js"/>var a=1;</script><p>goes on and on</p></article>', "long text here goes on and on"),
+    ("<article><p>see <math><mi>x</mi></math> and <object>the fallback</object> too</p></article>", "see x and the fallback too"),
     ("<article><h1>T</h1><p>body text goes on here</p><form><label>Mail</label><input></form></article>", "T body text goes on here"),
 ]
 
@@ -74,7 +79,8 @@ def test_hostile_pages(extractor, source, text):
 
 
 def test_deep_and_broken_pages(extractor):
-    html_extract.extract(extractor, ["<div>" * 20000 + "x", "<a " * 50000, '<p class="' * 20000, "</p>" * 20000, "<" * 100000])
+    html_extract.extract(extractor, ["<div>" * 20000 + "x", "<a " * 50000, '<p class="' * 20000, "</p>" * 20000, "<" * 100000,
+                                     "<p><button><b>" + "<div></div>" * 40000, "<head>" * 40000, "<svg>" * 40000, "<a b='" * 40000])
 
 
 def test_extract_edge_cases(spark, extractor):
@@ -127,14 +133,36 @@ def test_code_lengths_are_exact():
     assert np.allclose(got, want, atol=1e-3)
 
 
+def model_of(samples, order=4, min_count=2):
+    pieces = list(language_id.count_grams(order)([__import__("pyarrow").RecordBatch.from_pydict({"lang": [s[0] for s in samples], "text": [s[1] for s in samples]})]))
+    langs = sorted({s[0] for s in samples})
+    ix = np.array([langs.index(x) for b in pieces for x in b.column("lang").to_pylist()])
+    grams = np.concatenate([b.column("gram").to_numpy() for b in pieces]).astype(np.uint64)
+    return language_id.build_model(langs, ix, grams, np.concatenate([b.column("n").to_numpy() for b in pieces]).astype(float), order, min_count)
+
+
 def test_long_texts_are_scored_in_slices(monkeypatch):
-    m = language_id.PpmModel(["a"], 4, np.arange(256).astype(np.int16) % 30, np.zeros((2, 30), np.int32), np.random.default_rng(1).random((2, 30, 1)).astype(np.float32))
-    texts = [language_id.folded("some words here " * 50), language_id.folded("x"), language_id.folded("more of it " * 30)]
+    m = model_of([("a", "some words and others"), ("b", "andere worte und mehr")])
+    texts = [language_id.folded("some words here " * 3000), language_id.folded("x"), language_id.folded("more of it " * 30)]
     whole = m.bits(texts)
     monkeypatch.setattr(language_id, "SLICE", 64)
     assert np.allclose(m.bits(texts), whole, rtol=1e-4)
 
 
+def test_many_languages_in_groups_and_sparse_tables(spark, monkeypatch):
+    """More languages than one group has columns, all learnt, with the same code lengths from dense and from sorted tables."""
+    words = {f"l{k:03}": "".join(chr(97 + (k * 7 + j * (k % 5 + 1)) % 26) for j in range(12)) for k in range(90)}
+    samples = [(k, f"{w} {w[::-1]} {w[3:9]}") for k, w in words.items()]
+    m = model_of(samples)
+    texts = [language_id.folded(t) for _, t in samples]
+    assert m.langs == sorted(words) and [m.langs[i] for i in m.bits(texts).argmin(1)] == [k for k, _ in samples]
+    monkeypatch.setattr(language_id, "DENSE", 0)
+    monkeypatch.setattr(language_id, "GROUP", 7)
+    assert np.allclose(model_of(samples).bits(texts), m.bits(texts), rtol=1e-5)
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(samples * 3)], "doc_id long, text string, lang string")
+    assert len(language_id.train(docs).langs) > 60
+
+
 def test_held_out_accuracy(spark):
     got = language_id.op2_language_id(spark, DATA).join(table(spark, DATA, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) >= 0.97 and all(0 <= r["score"] <= 1 for r in got)
