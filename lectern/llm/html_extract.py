@@ -27,13 +27,15 @@ from pyspark.sql.types import StructType
 from .common import table
 from .html_pages import labelled_pages
 
+#: A quote opens a string only after an equals sign; a string without an end is none.
 TAG = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)", re.S
+    r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|[!?/][^>]*>)", re.S
 )
 ATTR = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+|\d+")
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style title template noscript iframe textarea xmp svg math object select head".split())
+#: Elements whose content is no text of the page, up to their end tag; the first ones reach to the end of the page without it.
+RAW_TO_END = frozenset("script style title textarea".split())
+RAW = RAW_TO_END | frozenset("template noscript iframe xmp svg select head".split())
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -67,10 +69,15 @@ class Page:
     texts: list[tuple[int, str]] = field(default_factory=list)
 
 
-def parse(source: str) -> Page:
-    """The tree of a page; markup that cannot be read as a tag is text."""
+def parse(source: str, labelled: bool = False) -> Page:
+    """The tree of a page; markup that cannot be read as a tag is text. Labels (``data-y``) are read only if asked for.
+
+    One pass: for every tag the places where it is open are kept, so closing an element, or finding what a start tag
+    ends, never searches the stack."""
     p = Page()
-    open_, count = [], {}
+    open_: list[int] = []
+    places: dict[str, list[int]] = {}  # tag -> where in ``open_`` it stands
+    endless: set[str] = set()  # raw elements without a further end tag
 
     def push(tag: str, words: tuple[str, ...], label: int) -> None:
         up = open_[-1] if open_ else -1
@@ -82,13 +89,23 @@ def parse(source: str) -> Page:
         p.chars.append(0)
         p.linked.append(0)
 
+    def enter(tag: str) -> None:
+        places.setdefault(tag, []).append(len(open_))
+        open_.append(len(p.tags) - 1)
+
     def pop_to(k: int) -> None:
-        for i in open_[k:]:
-            count[p.tags[i]] -= 1
+        for i in reversed(open_[k:]):
+            places[p.tags[i]].pop()
             if p.tags[i] in BLOCK:
                 p.texts.append((-1, ""))
         del open_[k:]
 
+    def end(what: set[str], stop: set[str]) -> None:
+        """Close the innermost of ``what`` that no ``stop`` is inside of."""
+        last = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=-1)
+        if (k := last(what)) > last(stop - what):
+            pop_to(k)
+
     def text(x: str) -> None:
         if x:
             if "&" in x:
@@ -96,12 +113,11 @@ def parse(source: str) -> Page:
             p.texts.append((open_[-1], x))
             n = len(x) - x.count(" ")
             p.chars[open_[-1]] += n
-            if count.get("a"):
+            if places.get("a"):
                 p.linked[open_[-1]] += n
 
     push("#root", (), -1)
-    open_.append(0)
-    count["#root"] = 1
+    enter("#root")
     last, at = source.rfind(">") + 1, 0
     while at < last:
         m = TAG.search(source, at, last)
@@ -109,57 +125,48 @@ def parse(source: str) -> Page:
             break
         text(source[at : m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        if m[1] or m[4]:
-            if count.get(tag):
-                k = len(open_) - 1
-                while p.tags[open_[k]] != tag:
-                    k -= 1
-                pop_to(k)
+        if m[1]:
+            if places.get(tag):
+                pop_to(places[tag][-1])
             elif tag in ("p", "br"):
                 p.texts.append((-1, ""))
             continue
-        attrs = m[3] if m[2] else m[6]
-        if tag in RAW and not attrs.endswith("/"):
-            end = _RAW_END[tag].search(source, at)
-            at = end.end() if end else (at if tag == "head" else len(source))
-            continue
+        attrs = m[3]
+        if tag in RAW and not (tag == "svg" and attrs.endswith("/")):
+            stop = _RAW_END[tag].search(source, at) if tag not in endless else None
+            if stop:
+                at = stop.end()
+                continue
+            endless.add(tag)
+            if tag in RAW_TO_END:
+                return p
+            continue  # without an end its content is that of the page
         if tag in BLOCK:
             p.texts.append((-1, ""))
-            if count.get("p") and tag not in ("br", "button"):
-                _end(p, open_, {"p"}, _P_STOP, pop_to)
-        if tag in ENDS and any(count.get(t) for t in ENDS[tag][0]):
-            _end(p, open_, *ENDS[tag], pop_to)
+            if places.get("p") and tag not in ("br", "button"):
+                end({"p"}, _P_STOP)
+        if tag in ENDS:
+            end(*ENDS[tag])
         if tag in VOID:
             continue
         words, label = [], -1
         if attrs and "=" in attrs:
             for a in ATTR.finditer(attrs):
                 value = (a[2] or a[3] or a[4] or "").lower()
-                if a[1].lower() == "data-y":
-                    label = int(value)
-                else:
+                if a[1].lower() != "data-y":
                     words += WORD.findall(value)
+                elif labelled:
+                    label = int(value)
         push(tag, tuple(dict.fromkeys(words)), label)
         if not attrs.endswith("/") or tag in BLOCK:
-            open_.append(len(p.tags) - 1)
-            count[tag] = count.get(tag, 0) + 1
-    text(source[at:] if at >= last else source[at:])
+            enter(tag)
+    text(source[at:])
     return p
 
 
-def _end(p: Page, open_: list[int], what: set[str], stop: set[str], pop_to) -> None:
-    for k in range(len(open_) - 1, -1, -1):
-        tag = p.tags[open_[k]]
-        if tag in what:
-            pop_to(k)
-            return
-        if tag in stop:
-            return
-
-
 @dataclass
 class Forest:
     """The elements of many pages, one after the other."""
@@ -208,7 +215,7 @@ class TreeModel:
 
 def train(pages: list[str], smooth: float = 0.3) -> TreeModel:
     """Count the potentials over labelled pages (``data-y`` marks, see ``html_pages``)."""
-    parsed = [parse(x) for x in pages]
+    parsed = [parse(x, labelled=True) for x in pages]
     f = forest(parsed)
     y = np.concatenate([np.array(p.label) for p in parsed])
     root = f.parent < 0
@@ -283,8 +290,8 @@ def extract(m: TreeModel, sources: list[str]) -> list[str]:
 def extract_pages(pages: DataFrame, model: TreeModel, html_col: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``pages`` without the html, with the main text and its number of code points.
 
-    Null and empty html give an empty text; repeated rows stay; an empty table gives an empty
-    result. Columns that already have the result's names are replaced."""
+    Null and empty html give an empty text; repeated rows stay; pages of any length and depth are read whole; an empty
+    table gives an empty result. Columns that already have the result's names are replaced."""
     rest = pages.drop(*{text, n_chars} - {html_col})
     kept = [f for f in rest.schema.fields if f.name != html_col]
     schema = StructType([*kept]).add(text, "string").add(n_chars, "long")
@@ -305,4 +312,5 @@ def extract_pages(pages: DataFrame, model: TreeModel, html_col: str = "html", te
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars for every page (see ``extract_pages``)."""
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), train(labelled_pages()))

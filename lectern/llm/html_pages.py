@@ -22,6 +22,7 @@ JUNK = {
     "comments": ["comments", "comment-list", "comment", "reply", "replies", "discussion", "disqus", "respond", "reader-comments"],
     "share": ["share", "social", "sharing", "share-buttons", "follow"],
     "form": ["form", "search", "login", "signup", "contact-form", "search-form"],
+    "label": ["field", "input-group", "form-field", "label"],
 }
 
 
@@ -50,6 +51,8 @@ def _links(r: random.Random, n: int) -> str:
 def _junk(r: random.Random, kind: str) -> str:
     tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "comments": "section"}.get(kind, "div")
     plain = r.random() < 0.4
+    if kind == "label":  # a field without a form around it
+        return f'<label{r.choice(["", _name(r, JUNK[kind])])} data-y="0">{_words(r, 1, 4)}</label><input name=q>'
     attr = "" if plain and tag not in ("div", "section") else _name(r, JUNK[kind])
     tag = tag if plain or kind == "form" else r.choice([tag, "div", "div", "section"])
     if tag in ("div", "section") and not attr:
@@ -104,7 +107,7 @@ def _block(r: random.Random) -> str:
 
 def _page(r: random.Random) -> str:
     blocks = [_block(r) for _ in range(r.choice([1, 2, 4, 8, 15, 25]))]
-    for kind in ("ad", "share", "comments", "form", "aside", "notice"):
+    for kind in ("ad", "share", "comments", "form", "aside", "notice", "label"):
         if r.random() < 0.12:
             blocks.insert(r.randrange(len(blocks) + 1), _junk(r, kind))
     head = f"<h1>{_words(r, 2, 10)}</h1>"
