@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"\w+")
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
@@ -48,7 +48,7 @@ def windows(ids: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(ids) - n + 1, np.uint64)
     for k in range(n):
-        out = out * _STEP + ids[k : len(ids) - n + 1 + k]
+        out = out * STEP + ids[k : len(ids) - n + 1 + k]
     return out
 
 
