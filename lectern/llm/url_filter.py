@@ -5,18 +5,19 @@ subdomains and whose path starts with the rule's path. Of the rules that fit, th
 with the longest ``host + path`` wins (ties: the longer host).
 
 Method: sort-merge range join. The canonical key of a rule is its host's labels in
-reverse order followed by its path (``example.com`` + ``/en/`` -> ``com.example/en/``),
-so a rule is the interval of all keys that start with its key, and the intervals either
-nest or are disjoint. A URL asks once for each ancestor domain, no deeper than the deepest
-rule: ``com/en/x``, ``com.example/en/x``, ... Rules and questions are sorted together by
+reverse order, a slash that ends the host (no host holds one), and its path (``example.com`` + ``/en/`` ->
+``com.example//en/``), so a rule is the interval of all keys that start with its key, and the intervals either
+nest or are disjoint; a host never is the beginning of another. A URL asks once for each ancestor domain, no deeper than the deepest
+rule: ``com//en/x``, ``com.example//en/x``, ... Rules and questions are sorted together by
 key. The sweep carries the stack of the rules that were open when the last rule began; a
 question pops those whose interval ended before it and takes what is then on top.
 
 Distribution: questions are dealt out by a hash of the row, not by host, so a host with a
 third of all URLs is spread evenly; every bucket gets a copy of the rules. The window is a
 running ``last`` over a sorted partition and holds one row at a time. The rules times
-buckets are bounded by ``max_rule_copies``; larger rule sets are dealt by the last host
-label as well, each label's questions in as many buckets as its rules allow.
+buckets are bounded by ``max_rule_copies``; in larger rule sets rules and questions meet by the host of the key:
+a host's questions are spread over as many buckets as ``QUESTIONS`` of each need, and only that host's rules are copied
+to these. Questions about hosts without a rule are not sent at all.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import bucket, rows_frame, shuffle_parts, table
 
+#: Questions about one host that go into one bucket, where rules are dealt by host.
+QUESTIONS = 500_000
 #: The rules of the registered query: host, path, verdict.
 RULES = [
     ("com", "/", "allow"),
@@ -71,7 +74,8 @@ def _rule_stacks(rules: DataFrame) -> DataFrame:
         .groupBy("host", "path")
         .agg(F.max("verdict").alias("verdict"))
         .select(
-            F.concat(reversed_host(F.col("host")), F.col("path")).alias("key"),
+            F.concat(reversed_host(F.col("host")), F.lit("/"), F.col("path")).alias("key"),
+            reversed_host(F.col("host")).alias("site"),
             F.concat("host", "path").alias("rule"),
             "verdict",
             F.length("host").alias("host_len"),
@@ -86,10 +90,10 @@ def _rule_stacks(rules: DataFrame) -> DataFrame:
     )
     return (
         keyed.crossJoin(F.broadcast(lengths))  # one row of lengths
-        .select("key", "depth", F.explode(F.filter("lengths", lambda n: n <= F.length("key"))).alias("n"))
-        .select("key", "depth", F.expr("substring(key, 1, n)").alias("outer_key"))
+        .select("key", "site", "depth", F.explode(F.filter("lengths", lambda n: n <= F.length("key"))).alias("n"))
+        .select("key", "site", "depth", F.expr("substring(key, 1, n)").alias("outer_key"))
         .join(outer, "outer_key")
-        .groupBy("key", "depth")
+        .groupBy("key", "site", "depth")
         .agg(F.array_sort(F.collect_list("entry")).alias("stack"))
     )
 
@@ -106,39 +110,45 @@ def url_verdicts(
 
     Null URLs and URLs without ``://`` have an empty host and path; no rule with a host fits
     them, so they get ``default``. Repeated rows stay repeated, null ids stay null; an empty
-    table gives an empty result. Other columns of ``pages`` are not read, so none can clash.
+    table gives an empty result. A rule with an empty path fits all paths of its host and the subdomains, not hosts that merely
+    begin alike. URLs of any length are read whole. Other columns of ``pages`` are not read, so none can clash.
     Rules with a null in any column are ignored."""
     spark = pages.sparkSession
     stacks = _rule_stacks(rules)
     n_rules, deepest = stacks.agg(F.count("*"), F.coalesce(F.max("depth"), F.lit(1))).first()
     buckets = 4 * shuffle_parts(spark)
-    by_label = n_rules * buckets > max_rule_copies
-    if by_label:  # large rule sets: a rule goes only where its last label's questions are
-        buckets = max(1, max_rule_copies // n_rules)
-
-    def part(key: str) -> Column:
-        return F.regexp_extract(key, "^[^./]*", 0) if by_label else F.lit("")
-
+    by_site = n_rules * buckets > max_rule_copies
     asked = pages.select(
         F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")
-    ).withColumn("salt", bucket(buckets, "id", "host", "path"))
+    )
     probes = asked.withColumn("labels", F.reverse(F.split("host", "\\.", -1))).select(
-        "id", "host", "path", "salt",
+        "id", "host", "path",
         F.explode(F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(deepest)))).alias("level"), "labels",
     ).select(
-        "id", "host", "path", "salt", "level",
-        F.concat(F.array_join(F.slice("labels", 1, F.col("level")), "."), "path").alias("key"),
-        F.lit(None).cast("array<struct<key:string,rule:string,verdict:string,host_len:int>>").alias("stack"),
-    )
-    opened = stacks.select(
+        "id", "host", "path", "level", F.array_join(F.slice("labels", 1, F.col("level")), ".").alias("site"),
+    ).withColumn("key", F.concat("site", F.lit("/"), "path"))
+    if by_site:
+        sites = stacks.select("site").distinct()
+        spread = probes.groupBy("site").agg(F.ceil(F.count("*") / QUESTIONS).cast("int").alias("n")).join(sites, "site")
+        opened = stacks.join(spread, "site").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        # the first question of every URL stays even where no rule can answer it
+        probes = probes.join(spread, "site", "left").where("n is not null or level = 1")
+        probes = probes.withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), F.coalesce("n", F.lit(buckets))).cast("int"))
+        probes = probes.withColumn("part", F.when(F.col("n").isNotNull(), F.col("site")).otherwise(""))
+        opened = opened.withColumn("part", F.col("site"))
+    else:
+        probes = probes.withColumn("salt", bucket(buckets, "id", "host", "path")).withColumn("part", F.lit(""))
+        opened = stacks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).withColumn("part", F.lit(""))
+    probes = probes.select(
+        "id", "host", "path", "salt", "part", "level", "key",
+        F.lit(None).cast("array<struct<key:string,rule:string,verdict:string,host_len:int>>").alias("stack"))
+    opened = opened.select(
         F.lit(None).cast(pages.schema[id_col].dataType).alias("id"), F.lit(None).cast("string").alias("host"),
-        F.lit(None).cast("string").alias("path"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("salt"),
-        F.lit(0).alias("level"), "key", "stack",
+        F.lit(None).cast("string").alias("path"), "salt", "part", F.lit(0).alias("level"), "key", "stack",
     )
     sweep = Window.partitionBy("salt", "part").orderBy("key", "level").rowsBetween(Window.unboundedPreceding, 0)
     answered = (
         probes.unionByName(opened)
-        .withColumn("part", part("key"))
         .withColumn("open", F.last("stack", ignorenulls=True).over(sweep))
         .where("level > 0")
         .withColumn("top", F.expr("try_element_at(filter(open, r -> startswith(key, r.key)), -1)"))
@@ -160,6 +170,7 @@ def url_verdicts(
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict for every page (see ``url_verdicts``); without a rule the verdict is allow."""
     return url_verdicts(table(spark, sf_dir, "pages"), rules_frame(spark, RULES))
 
 
