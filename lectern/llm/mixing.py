@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import md5_long, table
+from .common import SQL_CRC_TABLE, md5_long, sql_crc32, table
 
 #: Blocks in one row of the schedule, and the longest schedule that is broadcast (24 bytes a block).
 PART, BROADCAST_BLOCKS = 4096, 1_000_000
@@ -36,32 +36,7 @@ def temperature_weights(docs: DataFrame, exponent: float = 0.5, source_col: str
     """Target weights (source, weight): row counts to a power, which lifts small sources."""
     return (
         docs.groupBy(F.coalesce(source_col, F.lit("")).alias("source"))
-        .agg(F.pow(F.count("*").cast("double"), F.lit(exponent)).alias("weight"))
-    )
-
-
-def period(weights: DataFrame, resolution: int = 1000) -> DataFrame:
-    """One period of the schedule of weights rounded to shares of ``resolution``: source, share, period, j,
-    slot, release, deadline. ``mix`` does not round and has no use for it."""
-    shares = weights.agg(F.sum("weight").alias("total"), F.collect_list(F.struct("source", "weight")).alias("all")).select(
-        F.array_sort(F.transform("all", lambda x: F.struct(
-            x["source"].alias("source"),
-            F.greatest(F.lit(1), F.round(x["weight"] / F.col("total") * resolution)).cast("long").alias("c")))).alias("s"))
-    shares = shares.where("size(s) > 0").withColumn("h", F.expr("aggregate(s, 0L, (a, x) -> a + x.c)"))
-    pick = """array_min(transform(s, (x, i) -> if(
-        acc.next[i] < x.c and (acc.next[i] * h) div x.c <= t,
-        named_struct('deadline', ((acc.next[i] + 1) * h + x.c - 1) div x.c, 'i', i, 'j', acc.next[i]), null)))"""
-    fold = f"""aggregate(sequence(0L, h - 1),
-        named_struct('next', transform(s, x -> 0L), 'ran', cast(array() as array<struct<deadline:bigint,i:int,j:bigint>>)),
-        (acc, t) -> aggregate(array({pick}), acc, (a, p) -> named_struct(
-            'next', transform(a.next, (n, i) -> if(i = p.i, n + 1, n)), 'ran', concat(a.ran, array(p)))),
-        acc -> acc.ran)"""
-    return (
-        shares.select("s", "h", F.posexplode(F.expr(fold)).alias("slot", "p"))
-        .select(
-            F.expr("s[p.i].source").alias("source"), F.expr("s[p.i].c").alias("share"), F.col("h").alias("period"),
-            F.col("p.j").alias("j"), F.col("slot").cast("long").alias("slot"),
-            F.expr("(p.j * h) div s[p.i].c").alias("release"), F.col("p.deadline").alias("deadline"))
+        .agg((F.sqrt(F.count("*").cast("double")) if exponent == 0.5 else F.pow(F.count("*").cast("double"), F.lit(exponent))).alias("weight"))
     )
 
 
@@ -99,43 +74,45 @@ def _frame(spark: SparkSession, plan: dict[str, tuple[array, array, array]]) ->
 
 
 def mix(
-    docs: DataFrame, weights: DataFrame | None = None, block_rows: int = 16, bins: int = 256,
-    max_sources: int = 2000, id_col: str = "doc_id", source_col: str = "source", keep: tuple[str, ...] = (),
+    docs: DataFrame, weights: DataFrame | None = None, block_rows: int = 16, bins: int = 256, bin_rows: int = 200_000,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (),
+    total: str | None = None,
 ) -> DataFrame:
-    """Id, source, block, slot, seq, release, deadline for every row (plus columns ``keep``).
+    """Id, source, block, slot, seq, release, deadline for every row (plus columns ``keep`` and, under the name ``total``, the
+    number of slots of the schedule).
 
     Sorting by (slot, seq) gives the mixture. A null source is the source with the empty name.
-    Rows of sources without a weight are an error, as are more than ``max_sources`` sources: they are the
-    mixture's design and must be few. Weights of a repeated source add up; those that are null or not positive count as the
-    smallest of the others. Ties and repeated rows are numbered in an order of their own; an empty table
+    Rows of sources without a weight are an error. The driver holds one row a source and 24 bytes a block, so ``block_rows``
+    should grow with the table (4096 at 10^10 rows). Weights of a repeated source add up; those that are null or not positive count as the
+    smallest of the others. After any number of slots a source that still has rows is less than one block away from its exact target.
+    Rows are numbered by (bin, id, checksum of the text); rows that tie in all of these are interchangeable. There are ``bins`` bins a source
+    or more, so that the largest source has about ``bin_rows`` rows in each; ids that repeat or are null spread by their texts. An empty table
     gives an empty result. Other columns are dropped."""
     spark = docs.sparkSession
     weights = temperature_weights(docs, source_col=source_col) if weights is None else weights.select(
         F.coalesce("source", F.lit("")).alias("source"), F.col("weight").cast("double").alias("weight")).groupBy("source").agg(F.sum("weight").alias("weight"))
-    given = {r["source"]: r["weight"] or 0.0 for r in weights.limit(max_sources + 1).collect()}
-    if len(given) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+    given = {r["source"]: r["weight"] or 0.0 for r in weights.collect()}  # one row a source
     if not all(math.isfinite(w) for w in given.values()):
         raise ValueError("weights must be finite")
     least = min((w for w in given.values() if w > 0), default=1.0)
     given = {s: w if w > 0 else least for s, w in given.items()}
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rest = [c for c in keep if c not in (id_col, source_col)]
-    rows = docs.select(
-        F.col(id_col), F.coalesce(source_col, F.lit("")).alias("__source"), *rest,
-        (md5_long(key) % bins).cast("int").alias("__bin"),
-    )
-    sizes = {r[0]: r[1] for r in rows.groupBy("__source").count().limit(max_sources + 1).collect()}
+    named = docs.withColumn("__source", F.coalesce(F.col(source_col), F.lit("")))
+    sizes = {r[0]: r[1] for r in named.groupBy("__source").count().collect()}
     if missing := sorted(sizes.keys() - given.keys()):
         raise ValueError(f"no weight for source {missing[0]}")
+    bins = max(bins, -(-max(sizes.values(), default=0) // bin_rows))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")) if text_col in docs.columns else F.lit("")
+    rest = [c for c in keep if c not in (id_col, source_col)]
+    rows = named.select(F.col(id_col), "__source", *rest, F.crc32(text.cast("binary")).alias("__sum")).withColumn(
+        "__bin", (md5_long(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("__sum").cast("string"))) % bins).cast("int"))
     plan = schedule(given, {s: -(-n // block_rows) for s, n in sizes.items()})
     slots = _frame(spark, plan)
     slots = F.broadcast(slots) if sum(len(runs[0]) for runs in plan.values()) <= BROADCAST_BLOCKS else slots
-    counts = rows.groupBy("__source", "__bin").agg(F.count("*").alias("n"))  # at most max_sources * bins rows
+    counts = rows.groupBy("__source", "__bin").agg(F.count("*").alias("n"))  # at most sources * bins rows
     before = Window.partitionBy("__source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__source", "__bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
     starts = F.broadcast(starts) if len(given) * bins <= 1_000_000 else starts
-    within = Window.partitionBy("__source", "__bin").orderBy(id_col)
+    within = Window.partitionBy("__source", "__bin").orderBy(id_col, "__sum")
     at = F.col("__start") + F.row_number().over(within) - 1
     numbered = rows.join(starts, ["__source", "__bin"]).withColumn("__at", at).withColumn("block", F.expr(f"__at div {block_rows}"))
     placed = numbered.withColumn("__part", F.expr(f"block div {PART}")).join(slots, ["__source", "__part"], "left")
@@ -143,39 +120,47 @@ def mix(
     return placed.select(
         id_col, F.col("__source").alias(source_col), "block", of_block("__slot").alias("slot"),
         (F.col("__at") % block_rows).cast("int").alias("seq"),
-        of_block("__release").alias("release"), of_block("__deadline").alias("deadline"), *rest)
+        of_block("__release").alias("release"), of_block("__deadline").alias("deadline"), *rest,
+        *([F.lit(1 + max((runs[0][-1] for runs in plan.values()), default=0)).alias(total)] if total else []))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    """doc_id, source, block, slot, seq, release, deadline for every document (see ``mix``), weights being square roots of the counts."""
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-OP9_SQL = """
-WITH RECURSIVE weights AS (
-  SELECT coalesce(source, '') AS source, sqrt(count(*)) AS weight FROM documents GROUP BY 1),
-shares AS (
-  SELECT source, CAST(greatest(1, round(weight / sum(weight) OVER () * 1000)) AS BIGINT) AS c,
-    row_number() OVER (ORDER BY source) AS i
-  FROM weights),
-packed AS (SELECT list(c ORDER BY i) AS c, CAST(sum(c) AS BIGINT) AS h, CAST(count(*) AS BIGINT) AS n FROM shares),
+#: Weights are square roots of counts, at least 1, so times 2^52 they are whole numbers. The recursion deals out one slot a step.
+OP9_SQL = f"""
+WITH RECURSIVE shares AS (
+  SELECT coalesce(source, '') AS source, CAST(sqrt(count(*)) * 4503599627370496.0 AS HUGEINT) AS c,
+    (count(*) + 15) // 16 AS blocks, row_number() OVER (ORDER BY coalesce(source, '')) AS i
+  FROM documents GROUP BY 1),
+packed AS (SELECT list(c ORDER BY i) AS c, list(blocks ORDER BY i) AS ends, sum(c)::HUGEINT AS h, CAST(count(*) AS BIGINT) AS n FROM shares),
 sim(t, nxt, ran) AS (
-  SELECT CAST(0 AS BIGINT), list_transform(c, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS STRUCT(d BIGINT, i BIGINT, j BIGINT)) FROM packed
+  SELECT CAST(-1 AS HUGEINT), list_transform(c, lambda x: CAST(0 AS HUGEINT)),
+    CAST(NULL AS STRUCT(d HUGEINT, i BIGINT, j HUGEINT)) FROM packed
   UNION ALL
-  SELECT t + 1, list_transform(range(1, n + 1), lambda k: CASE WHEN k = pick.i THEN nxt[k] + 1 ELSE nxt[k] END), pick
+  SELECT due, list_transform(range(1, n + 1), lambda k: CASE WHEN k = pick.i THEN nxt[k] + 1 ELSE nxt[k] END), pick
   FROM (
-    SELECT t, nxt, n, list_min(list_filter(list_transform(range(1, n + 1), lambda k:
-        CASE WHEN nxt[k] < c[k] AND nxt[k] * h // c[k] <= t
+    SELECT *, list_min(list_filter(list_transform(range(1, n + 1), lambda k:
+        CASE WHEN nxt[k] < ends[k] AND nxt[k] * h // c[k] <= due
           THEN struct_pack(d := ((nxt[k] + 1) * h + c[k] - 1) // c[k], i := k, j := nxt[k]) END), lambda x: x IS NOT NULL)) AS pick
-    FROM sim, packed WHERE t < h)),
+    FROM (
+      SELECT *, greatest(t + 1, list_min(list_filter(list_transform(range(1, n + 1), lambda k:
+        CASE WHEN nxt[k] < ends[k] THEN nxt[k] * h // c[k] END), lambda x: x IS NOT NULL))) AS due
+      FROM sim, packed
+      WHERE list_sum(list_transform(range(1, n + 1), lambda k: ends[k] - nxt[k])) > 0))),
 plan AS (
-  SELECT source, c, h, ran.j AS j, t - 1 AS slot, ran.j * h // c AS release, ran.d AS deadline
-  FROM sim JOIN shares ON shares.i = sim.ran.i CROSS JOIN (SELECT h FROM packed)),
+  SELECT source, ran.j AS j, t AS slot, ran.j * (SELECT h FROM packed) // c AS release, ran.d AS deadline
+  FROM sim JOIN shares ON shares.i = sim.ran.i),
+summed AS (SELECT doc_id, source, {sql_crc32("text")} AS text_crc32 FROM documents, crc_table),
 numbered AS (
   SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (
       PARTITION BY coalesce(source, '')
-      ORDER BY CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 256, doc_id NULLS FIRST) - 1 AS pos
-  FROM documents)
-SELECT doc_id, source, pos // 16 AS block, pos // 16 // c * h + slot AS slot, CAST(pos % 16 AS INTEGER) AS seq,
-  pos // 16 // c * h + release AS release, pos // 16 // c * h + deadline AS deadline
-FROM numbered JOIN plan USING (source) WHERE pos // 16 % c = j
-"""
+      ORDER BY CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(text_crc32 AS VARCHAR)), 1, 8) AS BIGINT) % 256,
+        doc_id NULLS FIRST, text_crc32) - 1 AS pos
+  FROM summed)
+SELECT doc_id, source, pos // 16 AS block, CAST(slot AS BIGINT) AS slot, CAST(pos % 16 AS INTEGER) AS seq,
+  CAST(release AS BIGINT) AS release, CAST(deadline AS BIGINT) AS deadline
+FROM numbered JOIN plan USING (source) WHERE pos // 16 = j
+""".replace("WITH RECURSIVE ", f"WITH RECURSIVE {SQL_CRC_TABLE}, ", 1)

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import SQL_CRC_TABLE, sql_crc32, table
 
 HEX_DIGITS = 13  # 52 bits of the digest: exact in a double
 
@@ -78,14 +78,15 @@ def shard_of(key: Column, node: Node) -> Column:
 
 
 def shard_rows(
-    docs: DataFrame, shards: int = 8, bins: int = 1024, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, shards: int = 8, bins: int = 1024, bin_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text",
     keep: tuple[str, ...] = (), order: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Id, size, text_crc32, law, shard, slot, grown_shard for every row (plus columns ``keep``).
 
     size: UTF-8 bytes of the text (null: none) plus 1; the checksum of a null text is 0. A null
     id hashes as the empty string. Repeated ids share a shard, each row gets a slot of its own.
-    Slots follow (bin, id, checksum, size); rows that tie in all of them are interchangeable.
+    Slots follow (bin, id, checksum, size); rows that tie in all of them are interchangeable. There are ``bins`` bins a shard, or
+    more, so that each holds about ``bin_rows`` rows at most. Texts of any length are read whole.
     ``order`` names a column to use as the bin and one to sort it by instead. An empty table
     gives an empty result; other columns are dropped unless named in ``keep``."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -98,12 +99,13 @@ def shard_rows(
         *([F.col(order[0]).alias("__bin"), F.col(order[1]).alias("__by")] if order else []),
     )
     if not order:
+        bins = max(bins, -(-docs.select(F.lit(1)).count() // (shards * bin_rows)))
         placed = placed.withColumn("__bin", _bin(id_col, bins)).withColumn("__by", F.lit(0))
     counts = placed.groupBy("shard", "__bin").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "__bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     if not order:
-        starts = F.broadcast(starts)  # at most shards * bins rows
+        starts = F.broadcast(starts) if shards * bins <= 1_000_000 else starts  # at most shards * bins rows
     within = Window.partitionBy("shard", "__bin").orderBy("__by", id_col, "text_crc32", "size")
     return (
         placed.withColumn("rank", F.row_number().over(within) - 1)
@@ -119,6 +121,7 @@ def _bin(id_col: str, bins: int) -> Column:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every document (see ``shard_rows``)."""
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
@@ -140,21 +143,10 @@ def _sql_shard(node: Node) -> str:
 
 
 OP6_SQL = f"""
-WITH RECURSIVE bytes(n, v) AS (
-  SELECT i, CAST(i AS BIGINT) FROM range(256) t(i)),
-steps(k, n, v) AS (
-  SELECT 0, n, v FROM bytes
-  UNION ALL SELECT k + 1, n, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM steps WHERE k < 8),
-crc_table AS (SELECT list(v ORDER BY n) AS entries FROM steps WHERE k = 8),
-raw AS (
-  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
-    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS codes
-  FROM documents),
+WITH RECURSIVE {SQL_CRC_TABLE},
 summed AS (
-  SELECT doc_id, key, size,
-    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), codes),
-      lambda c, b: xor(c >> 8, entries[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32
-  FROM raw, crc_table),
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {sql_crc32("text")} AS text_crc32
+  FROM documents, crc_table),
 placed AS (
   SELECT *, {_sql_shard(tree(8))} AS shard, {_sql_shard(tree(9))} AS grown_shard,
     CAST('0x' || substr(md5(key || ':' || CAST(text_crc32 AS VARCHAR)), 1, 8) AS BIGINT) % 1024 AS bin
