@@ -131,19 +131,21 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
         F.sha2("canonical", 256).alias("digest"), "license", head(F.col("canonical")).alias("head"))
 
 
-def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_known: int = 100_000) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_known: int = 100_000) -> DataFrame:
     """One row per row: id, license (of the entire text, else null), line_licenses (the distinct
     licences of single lines, sorted, comma-separated), license_lines, copyright_lines.
 
-    Null and empty texts match nothing; repeated rows stay repeated, null ids stay null. Other
-    columns are dropped. ``known`` must hold at most ``max_known`` digests, which are broadcast."""
-    heads = sorted(r[0] for r in known.select("head").distinct().limit(max_known + 1).collect())
-    if known.limit(max_known + 1).count() > max_known:
-        raise ValueError(f"more than {max_known} known digests")
+    Null and empty texts match nothing; repeated rows stay repeated, null ids stay null; texts of any length are read
+    whole; an empty table gives an empty result. Other columns are dropped. Up to ``broadcast_known`` digests are broadcast, and only texts and lines that
+    begin like one of them are worked on; more are joined by a shuffle, without that short cut and with equal results."""
+    few = known.limit(broadcast_known + 1).count() <= broadcast_known
+    heads = sorted(r[0] for r in known.select("head").distinct().collect()) if few else []
     begins = F.create_map(*[F.lit(x) for h in heads for x in (h, True)]) if heads else F.expr("map('', false)")
 
     def may_match(line: Column) -> Column:
         h = head(line)
+        if not few:
+            return h != ""
         return h.startswith("v") | F.coalesce(F.element_at(begins, h), F.lit(False))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -153,9 +155,10 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     entire = F.when(may_match(F.col("first")), F.sha2(whole(F.col("lines")), 256))
     single = F.transform(F.filter("lines", may_match), lambda x: F.struct(
         F.lit(False).alias("entire"), F.sha2(canonical_line(x), 256).alias("digest")))
+    table_ = known.select("digest", "license")
     units = rows.select("id", "row", "copyright_lines", F.inline(F.concat(
         F.array(F.struct(F.lit(True).alias("entire"), entire.alias("digest"))), single)))
-    found = units.join(F.broadcast(known.select("digest", "license")), "digest", "left").where("entire or license is not null")
+    found = units.join(F.broadcast(table_) if few else table_, "digest", "left").where("entire or license is not null")
     return (
         found.groupBy("id", "row")
         .agg(
@@ -171,6 +174,7 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, license, line_licenses, license_lines, copyright_lines for every document (see ``scan``)."""
     return scan(table(spark, sf_dir, "documents"), known_digests(spark))
 
 
@@ -178,25 +182,30 @@ def _sql_canonical(line: str) -> str:
     out = f"trim(regexp_replace(lower({line}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     for pattern, to in SPELLINGS:
         out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-    return f"CASE WHEN regexp_matches(lower({line}), '{COPYRIGHT}') THEN '' ELSE {out} END"
+    return out
 
 
-def _sql_lines(text: str) -> str:
-    return f"list_filter(list_transform(string_split_regex({text}, '\\r\\n|\\r|\\n'), lambda x: {_sql_canonical('x')}), lambda x: x <> '')"
+def _sql_whole(text: str) -> str:
+    """The lines of a text, but for copyright lines, as one canonical text."""
+    lines = f"string_split_regex({text}, '\\r\\n|\\r|\\n')"
+    lettered = f"regexp_matches(array_to_string({lines}, ' '), '\\([bB]\\)')"
+    kept = f"list_filter({lines}, lambda x: NOT regexp_matches(lower(x), '{COPYRIGHT}') OR ({lettered} AND regexp_matches(x, '^\\s*\\([cC]\\)')))"
+    return _sql_canonical(f"array_to_string({kept}, ' ')")
 
 
 _KNOWN = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in known_texts())
 OP3_SQL = f"""
 WITH given(license, text) AS (VALUES {_KNOWN}),
-known AS (SELECT sha256(array_to_string({_sql_lines("text")}, ' ')) AS digest, min(license) AS license FROM given GROUP BY 1),
+known AS (SELECT sha256({_sql_whole("text")}) AS digest, min(license) AS license FROM given GROUP BY 1),
+split AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 lined AS (
-  SELECT doc_id, {_sql_lines("coalesce(text, '')")} AS lines,
-    CAST(len(list_filter(string_split_regex(coalesce(text, ''), '\\r\\n|\\r|\\n'), lambda x: regexp_matches(lower(x), '{COPYRIGHT}'))) AS BIGINT) AS copyright_lines
-  FROM documents),
+  SELECT row, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM split),
+seen AS (
+  SELECT row, regexp_matches(lower(line), '{COPYRIGHT}') AS mark, sha256({_sql_canonical("line")}) AS digest FROM lined),
 found AS (
-  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(*) AS license_lines
-  FROM (SELECT doc_id, unnest(lines) AS line FROM lined) JOIN known ON digest = sha256(line) GROUP BY doc_id)
-SELECT lined.doc_id, license, coalesce(line_licenses, '') AS line_licenses, coalesce(license_lines, 0) AS license_lines, copyright_lines
-FROM lined LEFT JOIN known ON digest = sha256(array_to_string(lines, ' '))
-LEFT JOIN found ON lined.doc_id IS NOT DISTINCT FROM found.doc_id
+  SELECT row, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses, count(license) AS license_lines, count(*) FILTER (mark) AS copyright_lines
+  FROM (SELECT row, mark, CASE WHEN NOT mark THEN known.license END AS license FROM seen LEFT JOIN known USING (digest)) GROUP BY row)
+SELECT doc_id, license, coalesce(line_licenses, '') AS line_licenses, coalesce(license_lines, 0) AS license_lines,
+  CAST(coalesce(copyright_lines, 0) AS BIGINT) AS copyright_lines
+FROM split LEFT JOIN known ON digest = sha256({_sql_whole("text")}) LEFT JOIN found USING (row)
 """
