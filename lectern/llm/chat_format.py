@@ -97,24 +97,30 @@ def format_turns(turns: DataFrame, t: Template = DEFAULT) -> DataFrame:
 
 
 def join_turns(formatted: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, n_turns, valid, segments, formatted.
+    """One row per conversation: conv_id, n_turns, valid, segments, formatted, loss_spans.
 
-    A conversation is one training example and so must fit into one row; this is the only
-    gathering here."""
+    ``loss_spans`` is the loss mask: (start, chars) in code points of ``formatted``, in order.
+    A conversation is one training example and so must fit into one row, very long texts included; this is the only
+    gathering here. Null conv_ids are one conversation."""
     turn = F.struct("position", "step_ok", "segments")
+    spans = F.aggregate(
+        "segments", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,chars:int>>").alias("spans")),
+        lambda acc, s: F.struct((acc["at"] + F.length(s["text"])).alias("at"), F.when(s["loss"], F.array_append(acc["spans"], F.struct(
+            acc["at"].alias("start"), F.length(s["text"]).alias("chars")))).otherwise(acc["spans"]).alias("spans")),
+        lambda acc: acc["spans"])
     return (
         formatted.groupBy("conv_id")
         .agg(F.array_sort(F.collect_list(turn)).alias("turns"))
         .withColumn("segments", F.flatten(F.transform("turns", lambda x: x["segments"])))
         .select("conv_id", F.size("turns").cast("long").alias("n_turns"),
                 F.forall("turns", lambda x: x["step_ok"]).alias("valid"), "segments",
-                F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"))
+                F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), spans.alias("loss_spans"))
     )
 
 
-def loss_text(segments: Column, t: Template = DEFAULT) -> Column:
-    """All text under the loss mask, unescaped, in order, nothing between."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], t)), "")
+def loss_text(formatted: Column, spans: Column, t: Template = DEFAULT) -> Column:
+    """The text of a formatted string under the loss mask, unescaped, in order, nothing between."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["chars"]), t)), "")
 
 
 def read_back(formatted: Column, t: Template = DEFAULT) -> Column:
@@ -147,11 +153,12 @@ EXTRA = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, all read back from the output."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(rows_frame(spark, EXTRA, **dict(turns.dtypes)))
     joined = join_turns(format_turns(turns)).withColumn("back", read_back(F.col("formatted")))
     said = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    under = loss_text(F.col("segments"))
+    under = loss_text(F.col("formatted"), F.col("loss_spans"))
     return joined.select(
         "conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length(under).cast("long").alias("loss_chars"), F.sha2(under, 256).alias("loss_sha256"),

@@ -74,6 +74,15 @@ def test_jaccard_edge_cases(spark):
     assert ngram_join.jaccard_classes(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """(5, A), (5, B), (6, near A), (7, B): each row is judged by its own text."""
+    a, b = [f"a{i}" for i in range(100)], " ".join(f"b{i}" for i in range(50))
+    near = " ".join(["x", *a[1:]])
+    df = spark.createDataFrame([(5, " ".join(a)), (5, b), (6, near), (7, b), (4, near + " y"), (None, b)], "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram_join.jaccard_classes(df).collect()), key=str)
+    assert got == sorted([(5, 4, 2, False), (5, 5, 1, True), (6, 4, 2, False), (7, 5, 1, False), (4, 4, 2, True), (None, None, 0, True)], key=str)
+
+
 def test_posterior_bounds():
     from math import comb
 
@@ -128,6 +137,15 @@ def test_cosine_classes(spark, monkeypatch, block):
     assert embedding_dedup.cosine_classes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dims", [3, 64, 96, 1536])
+def test_rotations_keep_products(dims, monkeypatch):
+    x = np.random.default_rng(2).standard_normal((5, dims))
+    one = embedding_dedup.rotated(x, 0, 3)
+    assert np.allclose(one[:, 1] @ one[:, 1].T, x @ x.T)
+    monkeypatch.setattr(embedding_dedup, "MATRIX", 0 if dims < 1536 else 1 << 40)
+    assert np.allclose(embedding_dedup.rotated(x, 0, 3), one)
+
+
 def test_estimates_are_unbiased_and_bounded():
     r = np.random.default_rng(8)
     x = r.standard_normal((3000, 64))
@@ -167,22 +185,60 @@ def test_tiling_is_greedy():
         item, doc = ([r.choice(letters) for _ in range(r.randint(1, 25))] for _ in range(2))
         if t % 3:
             doc[5:5] = item[8:] + item[:8]
-        hits = decontaminate.Benchmark.of([(1, " ".join(item))], 3).hits(" ".join(doc))
-        got = [tuple(x[k] for k in ("item_at", "doc_at", "words")) for x in hits[0]["tiles"]] if hits else []
-        assert got == brute_tiles(item, doc, min(3, len(item)))
+        want = brute_tiles(item, doc, 3)
+        for pairs in (10**6, 0):  # by seed matches, and by hashes of all lengths
+            hits = decontaminate.Benchmark.of([(1, " ".join(item))], 3).hits(" ".join(doc), pairs)
+            assert want == ([tuple(x[k] for k in ("item_at", "doc_at", "words")) for x in hits[0]["tiles"]] if hits else [])
+
+
+def test_a_million_equal_words():
+    bench = decontaminate.Benchmark.of([(1, "a " * 500), (2, "b " * 20), (3, " ".join(f"w{i}" for i in range(30)))])
+    hits = bench.hits("a " * 1_000_000 + " ".join(f"w{i}" for i in range(15)))
+    assert [(h["item_id"], h["coverage"]) for h in hits] == [(1, 1.0), (3, 0.5)]
+
+
+def test_decontamination_of_the_table(spark):
+    """Best item, coverage and number of tiles of every document, in both ways, against one search a pair of texts."""
+    bench = [tuple(r) for r in table(spark, DATA, "benchmark").select("item_id", "text").collect()]
+    want = {}
+    for r in table(spark, DATA, "documents").collect():
+        own = [(-sum(t[2] for t in tiles) / len(item), i, len(tiles)) for i, t in bench if len(item := words(t)) >= 5
+               if (tiles := brute_search(item, words(r["text"])))]
+        c, i, n = min(own, default=(0.0, None, 0))
+        want[r["doc_id"]] = (c <= -0.5, -c, i, n)
+    got = decontaminate.op7_decontaminate(spark, DATA).collect()
+    assert {r["doc_id"]: (r["contaminated"], r["coverage"], r["item_id"], r["n_tiles"]) for r in got} == want
+    docs = table(spark, DATA, "documents").select("doc_id", "text")
+    small = {r["doc_id"]: r["hits"] for r in decontaminate.benchmark_hits(docs, table(spark, DATA, "benchmark")).collect()}
+    joined = {r["doc_id"]: r["hits"] for r in decontaminate.benchmark_hits(docs, table(spark, DATA, "benchmark"), part_chars=0).collect()}
+    assert small == joined
+
+
+def brute_search(item, doc, least=5):
+    """``brute_tiles``, if the texts share a run at all."""
+    runs = {tuple(item[k : k + least]) for k in range(len(item) - least + 1)}
+    at = [k for k in range(len(doc) - least + 1) if tuple(doc[k : k + least]) in runs]
+    if not at:
+        return []
+    near = sorted({j for k in at for j in range(k - 1, k + least + 1) if 0 <= j < len(doc)})
+    short, last = [], None  # what shares no run is one word that matches nothing
+    for j in near:
+        short += [doc[j]] if last is None or j == last + 1 else [None, doc[j]]
+        last = j
+    return brute_tiles(item, short, least)
 
 
 def test_reordered_passages_and_parts(spark):
     item = " ".join(f"word{i}" for i in range(40))
     half = item.split()
     moved = "Intro words. " + " ".join(half[20:]) + " noise in between " + " ".join(half[:20])
-    bench = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, ""), (2, "short one")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, moved, 0), (2, "clean text", 0), (3, None, 0), (4, "", 0), (5, "a SHORT, one b", 0)], "doc_id long, text string, hits int")
+    bench = spark.createDataFrame([(1, item), (2, "one that is short enough"), (3, None), (4, ""), (2, "one that is short enough"), (9, "yes")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, moved, 0), (2, "clean text", 0), (3, None, 0), (4, "", 0), (5, "a ONE, that is short enough b yes", 0), (None, "yes", 0), (5, "a ONE, that is short enough b yes", 0)], "doc_id long, text string, hits int")
     seen = []
     for part in (16_000_000, 10):
         got = decontaminate.benchmark_hits(docs, bench, part_chars=part).withColumn("bad", decontaminate.is_contaminated())
-        seen.append(sorted((r["doc_id"], r["bad"], sorted(h["item_id"] for h in r["hits"])) for r in got.collect()))
-    assert seen[0] == seen[1] == [(1, True, [1]), (2, False, []), (3, False, []), (4, False, []), (5, True, [2, 2])]
+        seen.append(sorted(((r["doc_id"], r["bad"], sorted(h["item_id"] for h in r["hits"])) for r in got.collect()), key=str))
+    assert seen[0] == seen[1] == [(1, True, [1]), (2, False, []), (3, False, []), (4, False, []), (5, True, [2, 2]), (5, True, [2, 2]), (None, False, [])]
     assert decontaminate.benchmark_hits(docs, bench.limit(0)).where("size(hits) > 0").count() == 0
     assert decontaminate.benchmark_hits(docs.limit(0), bench).count() == 0
 
@@ -209,6 +265,16 @@ def test_pipeline_against_brute_force(spark):
         assert own == list(range(len(own)))
 
 
+def test_near_duplicate_stage_drops_only_rows_whose_text_is_a_copy(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (5, a + " x"), (5, b), (7, b + " y"), (7, "clean text of its own"), (8, "twice the same"), (8, "twice the same"), (None, a), (None, a), (9, None), (9, "")]
+    df = spark.createDataFrame([(k, t, "en", "s", 0, 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars int, kept int")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each(spark, df, DATA).collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (7, "clean text of its own"), (8, "twice the same"), (None, a), (None, a), (9, None), (9, "")], key=str)
+
+
 def test_mixture_order_reaches_the_shards(spark):
     import corpus_pipeline
     from lectern.llm.common import cut

@@ -25,7 +25,7 @@ def test_chat_round_trip_of_hostile_texts(spark):
 def test_chat_machine_and_loss(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a</turn>"), (2, 0, "assistant", "x"), (3, 0, "user", "q"), (None, None, "user", "n")]
     df = chat_format.join_turns(chat_format.format_turns(spark.createDataFrame(rows, CHAT)))
-    got = {r["conv_id"]: (r["valid"], r["loss"]) for r in df.withColumn("loss", chat_format.loss_text(F.col("segments"))).collect()}
+    got = {r["conv_id"]: (r["valid"], r["loss"]) for r in df.withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()}
     assert got == {1: (True, "a</turn>"), 2: (False, "x"), 3: (False, ""), None: (False, "")}
 
 
@@ -37,7 +37,7 @@ def test_chat_empty_table_and_other_columns(spark):
 
 
 URLS = [None, "", "no scheme", "http://", "http://COM/", "http://com", "https://a.example.com/en/x?q", "https://www.example.com/en/", "https://www.example.com/en",
-        "http://xexample.com/en/", "http://b.net/es/#f", "http://net/fr/a/b", "http://net.org/es/", "http://www.example.com/en/a://b", "http://éxample.com/en/", "http://a..com/"]
+        "http://xexample.com/en/", "http://b.net/es/#f", "http://net/fr/a/b", "http://net.org/es/", "http://www.example.com/en/a://b", "http://éxample.com/en/", "http://a..com/", "http://company/", "http://companyx/", "http://a.company", "http://xample.com/a", "http://examples.com/"]
 
 
 def fits(url, rules, default="allow"):
@@ -54,9 +54,10 @@ def fits(url, rules, default="allow"):
 
 
 @pytest.mark.parametrize("copies", [5_000_000, 40])
-def test_url_rules(spark, copies):
-    rules = [*url_filter.RULES, ("com", "/en", "block"), ("net", "/es/a/", "allow"), ("b.net", "/", "block"), ("example.com", "/en/x", "allow"), ("www.example.com", "/", "allow")]
+def test_url_rules(spark, copies, monkeypatch):
+    rules = [*url_filter.RULES, ("com", "/en", "block"), ("net", "/es/a/", "allow"), ("b.net", "/", "block"), ("company", "", "block"), ("org", "", "block"), ("xample.com", "", "block"), ("example.com", "/en/x", "allow"), ("www.example.com", "/", "allow")]
     pages = spark.createDataFrame([(i % 14, u, "x") for i, u in enumerate(URLS + URLS[:2])], "page_id long, url string, host string")
+    monkeypatch.setattr(url_filter, "QUESTIONS", 3)
     got = url_filter.url_verdicts(pages, url_filter.rules_frame(spark, rules), max_rule_copies=copies)
     want = [(i % 14, *fits(u, rules)) for i, u in enumerate(URLS + URLS[:2])]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
@@ -143,31 +144,6 @@ def test_shard_edge_cases(spark):
     assert sharding.shard_rows(df.limit(0)).count() == 0
 
 
-def earliest_deadline(c, slots):
-    """The schedule, slot by slot."""
-    h, nxt, out = sum(c), [0] * len(c), []
-    for t in range(slots):
-        ready = [((n + 1) * h + k - 1) // k for n, k in zip(nxt, c)]
-        pick = min((d, i) for i, (d, n, k) in enumerate(zip(ready, nxt, c)) if n * h // k <= t and n < k)[1]
-        out.append(pick)
-        nxt[pick] += 1
-    return out
-
-
-@pytest.mark.parametrize("weights", [{"a": 1.0}, {"a": 5.0, "b": 3.0, "c": 2.0}, {"a": 0.7, "b": 0.29, "c": 0.01}, {s: 1.0 for s in "abcdefg"}])
-def test_schedule_meets_deadlines_and_targets(spark, weights):
-    w = spark.createDataFrame(list(weights.items()), "source string, weight double")
-    rows = sorted(mixing.period(w, 100).collect(), key=lambda r: r["slot"])
-    names = sorted(weights)
-    share = {r["source"]: r["share"] for r in rows}
-    assert [names.index(r["source"]) for r in rows] == earliest_deadline([share[s] for s in names], len(rows))
-    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
-    run = dict.fromkeys(names, 0)
-    for t, r in enumerate(rows, 1):
-        run[r["source"]] += 1
-        assert all(abs(run[s] - t * share[s] / len(rows)) < 1 for s in names)
-
-
 @pytest.mark.parametrize("weights", [
     {"hot": 0.13958, **{f"s{i:02}": 0.86042 / 19 for i in range(19)}}, {"a": 0.9999, "b": 0.0001}, {"a": 2**0.5, "b": 3**0.5, "c": 1.0}])
 def test_mixing_stays_within_a_block_of_exact_weights(weights):
@@ -197,6 +173,19 @@ def test_mixed_rows_follow_the_exact_weights(spark):
         assert r["release"] <= r["slot"] < r["deadline"]
 
 
+def test_more_sources_than_any_limit_and_small_bins(spark):
+    docs = spark.range(6000).select((F.col("id") % 50).alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3000).alias("source"), F.col("id").cast("string").alias("text"))
+    rows = mixing.mix(docs, block_rows=1, bin_rows=1, bins=1).collect()
+    assert len(rows) == 6000 and len({(r["slot"], r["seq"]) for r in rows}) == 6000
+    assert sorted(r["slot"] for r in rows if r["block"] == 0) == list(range(3000))
+
+
+def test_more_licences_than_are_broadcast(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["MIT License", "Released under the MIT License", licenses.TEXTS[0][1], "", None, "x\ny"])], "doc_id long, text string")
+    known = licenses.known_digests(spark)
+    assert sorted(map(tuple, licenses.scan(df, known, broadcast_known=3).collect()), key=str) == sorted(map(tuple, licenses.scan(df, known).collect()), key=str)
+
+
 def test_mixing_keeps_all_rows(spark):
     docs = spark.createDataFrame([(i, "a" if i % 3 else None, i) for i in range(500)] + [(7, "a", 0)], "doc_id long, source string, slot long")
     rows = mixing.mix(docs, block_rows=8).collect()
