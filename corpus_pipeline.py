@@ -35,16 +35,19 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near-duplicates; rows that repeat an id count as copies."""
-    classes = cut(jaccard_classes(docs.select("doc_id", "text")))
-    gone = classes.where("not kept").select("doc_id")
-    repeated = classes.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    touched = gone.unionByName(repeated)
+    """One row of each class of near-duplicates. A row goes only if its own text is a copy: decisions are keyed by id and text, so
+    a document that shares its id with another's copy stays. Of rows that repeat both, one stays. Rows with a null id stay."""
+    rows = docs.select(*COLUMNS).withColumn("__row", F.xxhash64("text"))
+    classes = cut(jaccard_classes(docs.select("doc_id", "text"), row="__row"))
+    key = ["doc_id", "__row"]
+    repeated = classes.where("kept and doc_id is not null").groupBy(*key).count().where("count > 1").select(*key, F.lit(True).alias("__again"))
+    touched = cut(classes.where("not kept").select(*key, F.lit(False).alias("__again")).distinct().unionByName(repeated))
     few = touched.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = docs.select(*COLUMNS)
-    alone = rows.join(F.broadcast(touched) if few else touched, "doc_id", "left_anti")
-    first = rows.join(F.broadcast(repeated) if few else repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return alone.unionByName(first).select(*COLUMNS)
+    joined = rows.join(F.broadcast(touched) if few else touched, key, "left").where("__again is null or __again")
+    alone, again = joined.where("__again is null"), joined.where("__again")
+    if touched.where("__again").limit(1).count():
+        alone = alone.unionByName(again.dropDuplicates(key))
+    return alone.select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +56,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def in_mixture_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, ordered by the mixture's schedule over the partitions and within them."""
-    mixed = mix(docs, keep=COLUMNS)
-    slots = mix(docs).agg(F.coalesce(F.max("slot"), F.lit(0)) + 1).first()[0]
+    """All rows, ordered by the mixture's schedule over the partitions and within them.
+
+    The schedule itself knows how many slots it has, so the mixture is computed once."""
     parts = shuffle_parts(spark)
-    place = F.expr(f"cast(slot * {parts} div {slots} as int)")
+    mixed = mix(docs, keep=COLUMNS, total="__slots")
+    place = F.expr(f"cast(slot * {parts} div __slots as int)")
     return mixed.repartitionById(parts, place).sortWithinPartitions("slot", "seq").select(*COLUMNS)
 
 
@@ -87,5 +91,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = cut(stage(spark, docs, sf_dir))  # the stage's own frame, and the broadcasts it holds, are let go here
     return STAGES[-1][1](spark, docs, sf_dir)
