@@ -268,6 +268,7 @@ def train(
     per = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
     n_lang = max(1, per.count())
     share = per.select("lang", F.least(train_docs / F.col("rows"), train_bytes / n_lang / F.greatest("bytes", F.lit(1))).alias("share"))
+    share = F.broadcast(share) if n_lang <= 100_000 else share  # one row a language
     text_hash = F.crc32(F.col("text").cast("binary")).cast("string")
     drawn = F.crc32(F.concat(F.lit("sample:"), F.col("key"), F.lit(":"), text_hash).cast("binary")) / float(1 << 32)
     sample = labelled.join(share, "lang").where(drawn < F.col("share")).select("lang", "text")
