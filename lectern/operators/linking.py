@@ -24,24 +24,24 @@ def heuristic_roles(lines: DataFrame, page: str = "page_id", order: str = "ord")
     )
 
 
-def explicit_roles(lines: DataFrame) -> DataFrame:
-    """Roles of lines with ALTO tokens (array of kind, subs_type, subs_content): markup first, marks else.
+#: What markup says of the break a line begins with and of the one it ends with: declared at all, and the whole word.
+MARKUP = ("begin_explicit", "begin_subs", "end_explicit", "end_subs")
+
 
-    Adds role, explicit, subs (of the break with the line before for PART2 and BOTH, else of the one at the end),
-    fwd_explicit, fwd_subs (of the break at the end)."""
+def explicit_roles(lines: DataFrame) -> DataFrame:
+    """Roles of lines with ALTO tokens (array of kind, subs_type, subs_content): markup first, marks else; and ``MARKUP``."""
     words = F.filter("tokens", lambda t: t["kind"] == "String")
     first, last = F.try_element_at(words, F.lit(1)), F.try_element_at(words, F.lit(-1))
     hyp = F.coalesce(F.try_element_at(F.col("tokens"), F.lit(-1))["kind"] == "HYP", F.lit(False))
     back = F.coalesce(first["subs_type"] == "HypPart2", F.lit(False))
     marked = hyp | F.coalesce(last["subs_type"] == "HypPart1", F.lit(False))
     front = marked | T.trailing_hyphen_char(F.col("text")).isNotNull()
-    end_subs = F.when(marked & (last["subs_type"] == "HypPart1"), last["subs_content"])
     return (
         lines.withColumn("role", F.when(back & front, "BOTH").when(front, "PART1").when(back, "PART2").otherwise("NONE"))
-        .withColumn("explicit", F.when(back, True).otherwise(front & marked))
-        .withColumn("subs", F.when(back, first["subs_content"]).otherwise(end_subs))
-        .withColumn("fwd_explicit", front & marked)
-        .withColumn("fwd_subs", end_subs)
+        .withColumn("begin_explicit", back)
+        .withColumn("begin_subs", F.when(back, first["subs_content"]))
+        .withColumn("end_explicit", front & marked)
+        .withColumn("end_subs", F.when(marked & (last["subs_type"] == "HypPart1"), last["subs_content"]))
     )
 
 
@@ -71,24 +71,32 @@ def link_lines(lines: DataFrame, doc: str = "doc_id", order: str = "ord", condit
 
     Every PART1 and BOTH line is joined to the next line with text, across pages of a document,
     if ``condition`` (on the structs ``here`` and ``next``, see ``can_pair``) holds. A continued NONE becomes
-    PART2 and a continued PART1 becomes BOTH. The document's lines are one sorted stream, so the
-    join is a ``lead`` and costs one shuffle."""
-    w = Window.partitionBy(doc).orderBy(order)
-    filled = T.py_strip(F.col("text")) != ""
-    cols = [F.col(c) for c in lines.columns]
-    full = lines.where(filled).withColumn("here", F.struct(*cols)).withColumn("next", F.lead("here").over(w))
-    ok = F.col("role").isin("PART1", "BOTH") & F.col("next").isNotNull()
+    PART2 and a continued PART1 becomes BOTH; where ``MARKUP`` is known, both halves of a pair get the whole word that either names, and a half
+    that is not marked itself counts as marked if the first is. A line is read once: the document is one sorted stream, lines without
+    text stand in a stream of their own, so the links are a ``lead`` and the whole costs one shuffle by document."""
+    have = set(lines.columns)
+    marked = {*MARKUP} <= have
+    geometry = [c for c in ("page_id", "block_id", "hpos", "vpos", "width", "height") if c in have] if condition is not None else []
+    shown = [F.col(c) for c in ("line_id", *geometry, *(["begin_subs"] if marked else []))]
+    if condition is not None:
+        shown.append(F.coalesce(F.col("begin_explicit") | F.col("end_explicit"), F.lit(False)).alias("explicit") if marked else F.lit(False).alias("explicit"))
+    placed = lines.withColumn("__at", F.row_number().over(Window.partitionBy(doc).orderBy(order))).withColumn(
+        "__filled", F.coalesce(T.py_strip(F.col("text")) != "", F.lit(False)))
+    w = Window.partitionBy(doc, "__filled").orderBy("__at")
+    led = placed.withColumn("here", F.struct(*shown)).withColumn("next", F.lead("here").over(w))
+    ok = F.col("__filled") & F.col("role").isin("PART1", "BOTH") & F.col("next").isNotNull()
     ok = ok & (condition if condition is not None else F.lit(True))
-    linked = (
-        full.withColumn("__ok", F.coalesce(ok, F.lit(False)))
-        .withColumn("next_line", F.when(F.col("__ok"), F.col("next.line_id")))
-        .withColumn("prev_line", F.when(F.lag("__ok").over(w), F.lag("line_id").over(w)))
-        .withColumn("role", F.when(F.col("prev_line").isNotNull(),
-                    F.when(F.col("role").isin("PART1", "BOTH"), "BOTH").otherwise("PART2")).otherwise(F.col("role")))
-        .drop("here", "next", "__ok")
-    )
-    empty = F.lit(None).cast(dict(lines.dtypes)["line_id"])
-    return linked.unionByName(lines.where(~filled).withColumn("next_line", empty).withColumn("prev_line", empty))
+    linked = led.withColumn("__ok", F.coalesce(ok, F.lit(False))).withColumn("next_line", F.when(F.col("__ok"), F.col("next.line_id")))
+    was = lambda c: F.when(F.lag("__ok").over(w), F.lag(c).over(w))
+    linked = linked.withColumn("prev_line", was("line_id"))
+    if marked:
+        linked = linked.withColumn("__end_subs", F.when(F.col("__ok"), F.coalesce("end_subs", F.col("next.begin_subs"))).otherwise(F.col("end_subs")))
+        began = F.col("role").isin("PART2", "BOTH")
+        linked = linked.withColumn("begin_explicit", F.coalesce(F.when(F.col("prev_line").isNotNull() & ~began, was("end_explicit")), "begin_explicit"))
+        linked = linked.withColumn("begin_subs", F.coalesce(was("__end_subs"), "begin_subs")).withColumn("end_subs", F.col("__end_subs")).drop("__end_subs")
+    continued = F.col("prev_line").isNotNull()
+    return linked.withColumn("role", F.when(continued, F.when(F.col("role").isin("PART1", "BOTH"), "BOTH").otherwise("PART2")).otherwise(F.col("role"))).drop(
+        "here", "next", "__ok", "__at", "__filled")
 
 
 def unpaired_breaks(linked: DataFrame) -> DataFrame:
@@ -99,22 +107,28 @@ def unpaired_breaks(linked: DataFrame) -> DataFrame:
     )
 
 
-def units(linked: DataFrame, doc: str = "doc_id", order: str = "ord") -> DataFrame:
-    """Lines in units of two or more with ``unit_id``, ``member`` (from 0), ``size``, ``spans_pages``.
+def with_units(linked: DataFrame, doc: str = "doc_id", order: str = "ord") -> DataFrame:
+    """All lines with ``unit_id`` (null outside units of two or more), ``member`` (from 0), ``size``, ``spans_pages``.
 
     Links go to the next filled line, so units are runs: gaps and islands, no graph search."""
     w = Window.partitionBy(doc).orderBy(order)
-    member = linked.where("next_line is not null or prev_line is not null")
-    started = member.withColumn("unit_no", F.sum(F.col("prev_line").isNull().cast("int")).over(w))
-    u = Window.partitionBy(doc, "unit_no")
+    inside = F.col("next_line").isNotNull() | F.col("prev_line").isNotNull()
+    begins = inside & F.col("prev_line").isNull()
+    rows = linked.withColumn("unit_id", F.when(inside, F.last(F.when(begins, F.col("line_id")), ignorenulls=True).over(w)))
+    # a line outside units is a group of its own, so no window holds more than a unit
+    u = Window.partitionBy(doc, F.coalesce("unit_id", "line_id"))
     return (
-        started.withColumn("unit_id", F.first("line_id").over(u.orderBy(order)))
-        .withColumn("member", F.row_number().over(u.orderBy(order)) - 1)
-        .withColumn("size", F.count("*").over(u))
-        .withColumn("spans_pages", F.min("page_id").over(u) != F.max("page_id").over(u))
+        rows.withColumn("member", F.when(inside, F.row_number().over(u.orderBy(order)) - 1))
+        .withColumn("size", F.when(inside, F.count("*").over(u)))
+        .withColumn("spans_pages", F.when(inside, F.min("page_id").over(u) != F.max("page_id").over(u)))
     )
 
 
+def units(linked: DataFrame, doc: str = "doc_id", order: str = "ord") -> DataFrame:
+    """Only the lines in units, see ``with_units``."""
+    return with_units(linked, doc, order).where("unit_id is not null")
+
+
 def split_units(members: DataFrame, cap: int) -> DataFrame:
     """``unit_id_final``: units longer than ``cap`` lines are cut after every cap-th."""
     part = F.floor(F.col("member") / cap)
@@ -133,5 +147,5 @@ def pair_fields(lines: DataFrame, w) -> DataFrame:
 
 def close_over_units(flagged: DataFrame, flag: str = "revert", unit: str = "unit_id", doc: str = "doc_id") -> DataFrame:
     """A line is flagged if any member of its unit is; lines without a unit stay as they are."""
-    w = Window.partitionBy(doc, unit)
+    w = Window.partitionBy(doc, F.coalesce(F.col(unit).cast("string"), F.col("line_id").cast("string")))
     return flagged.withColumn(flag, F.when(F.col(unit).isNull(), F.col(flag)).otherwise(F.max(flag).over(w)))

@@ -124,10 +124,12 @@ def qe_route_hist(spark, d):
     return lines(spark, d).select("lang", tier.alias("tier")).groupBy("lang", "tier").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT event_id, regexp_replace(regexp_replace('request failed: api_key=' || props || ' x-auth-token: t' || user_id || ' retry',
-  '(?i)((?:api[_-]?key|password|passwd|secret|token)\s*[:=]\s*)\S+', '\1****', 'g'), '(?i)(x-(?:api-key|auth-token|access-token)\s*[:=]\s*)\S+', '\1****', 'g') AS message FROM events""")
+@query("""SELECT event_id, 'call ' || event_id || ' failed: {"api_key": "****", "user": ' || user_id || ', token=****&page=2} Authorization: Bearer **** sk-AbCd**** x-auth-token: **** end' AS message FROM events""")
 def sanitize_errors(spark, d):
-    message = F.concat(F.lit("request failed: api_key="), "props", F.lit(" x-auth-token: t"), C("user_id").cast("string"), F.lit(" retry"))
+    """Secrets of every shape planted in a message; the SQL says what should be left, not how it is found."""
+    n, user = C("event_id").cast("string"), C("user_id").cast("string")
+    message = F.concat(F.lit("call "), n, F.lit(' failed: {"api_key": "K'), n, F.lit('-s3cret", "user": '), user, F.lit(", token=t"), n, F.lit("&page=2} Authorization: Bearer abc."), n,
+                       F.lit("/+= sk-AbCd"), n, F.lit("xyz x-auth-token: t,"), user, F.lit(" end"))
     return table(spark, d, "events").select("event_id", T.sanitize_error(message).alias("message"))
 
 
@@ -268,16 +270,14 @@ def chunk_windows_fixed(spark, d):
 @query()
 def chunk_windows(spark, d):
     """Windows with a budget that keep units whole; every line is the target of one."""
-    u = linking.units(linked(spark, d), doc="page_id").select("line_id", "unit_id")
-    return planning.plan_windows(broken(spark, d).join(u, "line_id", "left"), PlanPolicy(max_chars=700)).select(
+    return planning.plan_windows(linking.with_units(linked(spark, d), doc="page_id"), PlanPolicy(max_chars=700)).select(
         "page_id", "chunk_ix", F.size("line_ids").alias("n_lines"), F.size("target_ids").alias("n_targets"))
 
 
 @query(f"""WITH {_UNITS}, keyed AS (SELECT b.page_id, coalesce(u.unit_id, 'line:' || b.line_id) AS unit, b.line_id FROM broken b LEFT JOIN units u USING (line_id))
 SELECT page_id, unit, count(*) AS n FROM keyed GROUP BY 1, 2""")
 def chunk_units(spark, d):
-    u = linking.units(linked(spark, d), doc="page_id").select("line_id", "unit_id")
-    planned = planning.plan_units(broken(spark, d).join(u, "line_id", "left"))
+    planned = planning.plan_units(linking.with_units(linked(spark, d), doc="page_id"))
     return planned.groupBy("page_id", "unit").agg(F.sum(F.size("line_ids")).alias("n"))
 
 
@@ -413,8 +413,7 @@ decided AS (SELECT *, CASE WHEN unit_id IS NULL THEN reason IS NOT NULL ELSE boo
 
 
 def _decided(spark, d):
-    u = linking.units(linked(spark, d), doc="page_id").select("line_id", "unit_id")
-    rows = broken(spark, d).join(u, "line_id", "left").withColumn("corrected", F.concat("text", F.lit(" ."))).withColumn(
+    rows = linking.with_units(linked(spark, d), doc="page_id").withColumn("corrected", F.concat("text", F.lit(" ."))).withColumn(
         "reason", F.when(C("ord") % 13 == 4, "too_different_from_source: x"))
     return guards.decide(rows, doc="page_id")
 
@@ -559,17 +558,17 @@ SELECT 'P' || doc_id AS page_id, 'L' || ord AS line_id, CAST(ord AS INTEGER) AS
 
 @query(_XML_SQL)
 def alto_scan(spark, d):
-    return ocr_xml.lines_of(_xml(spark, d, "alto"), "failfast").select("page_id", "line_id", "ord", "text")
+    return ocr_xml.lines_of(_xml(spark, d, "alto"), "failfast", ("page_id", "line_id", "ord", "text"))
 
 
 @query(_XML_SQL)
 def page_scan(spark, d):
-    return ocr_xml.lines_of(_xml(spark, d, "page"), "failfast").select("page_id", "line_id", "ord", "text")
+    return ocr_xml.lines_of(_xml(spark, d, "page"), "failfast", ("page_id", "line_id", "ord", "text"))
 
 
 def _rewritten(spark, d, fmt):
     files = _xml(spark, d, fmt)
-    found = ocr_xml.lines_of(files, "failfast").select("source_file", "page_id", "line_id", "ord", "text")
+    found = ocr_xml.lines_of(files, "failfast", ("source_file", "page_id", "line_id", "ord", "text"))
     new = F.when(C("ord") % 3 == 0, F.replace("text", F.lit("e"), F.lit("é"))).when((C("ord") % 3 == 1) & (C("text") != ""), F.concat("text", F.lit(" ok"))).otherwise(C("text"))
     done = rewrite.rewrite_files(files, found.withColumn("final_text", new), "rules")
     return done.select("source_file", "delivered", F.inline("lines")).select("source_file", "line_id", "delivered", "path", C("extracted").alias("text"))

@@ -11,17 +11,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import rules
 from ..plans import correction
-from ..sources import ocr_xml, rewrite
+from ..plans.store import written
+from ..sources import ocr_xml
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
 def correct_batch(files: DataFrame, rule_list: list[rules.Rule] | None = None) -> DataFrame:
-    """New files for files (path, content), each a document of its own."""
-    parsed = ocr_xml.lines_of(files.select("path", "content")).where("error is null").withColumn("doc_id", F.col("source_file"))
-    keyed = ocr_xml.with_document_order(parsed).withColumn("ord", F.col("line_seq"))
-    decided = correction.correct(keyed, rule_list).decisions
-    return rewrite.rewrite_files(files.select("path", "content"), decided.select("source_file", "page_id", "line_id", "final_text"))
+    """New files for files (path, content), each a document of its own. A file that cannot be read is a row with
+    its ``error``, its content as it was and ``delivered`` false; it holds up no other."""
+    parsed = written(ocr_xml.lines_of(files).withColumn("doc_id", F.col("source_file")))
+    return correction.rewritten(files.select("path", "content"), parsed.where("error is null").drop("error"), rule_list=rule_list).files
 
 
 def correct_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str, rule_list: list[rules.Rule] | None = None, glob: str = "*.xml") -> StreamingQuery:
@@ -29,6 +29,6 @@ def correct_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str
     arriving = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", glob).load(folder)
 
     def one(batch: DataFrame, number: int) -> None:
-        correct_batch(batch, rule_list).select("source_file", "content", "delivered").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        correct_batch(batch, rule_list).select("source_file", "content", "delivered", "error").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return arriving.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
