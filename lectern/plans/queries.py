@@ -14,8 +14,11 @@ from ..functions import udf as U
 from ..operators import align, confidence, edits, fidelity, guards, identity, linking, planning, rules
 from ..operators.policies import PlanPolicy
 from ..sources import ocr_xml, rewrite
-from . import relational
-from .views import SQL_BROKEN, SQL_LINES, SQL_LINKED, SQL_NOISY, broken, in_page, lines, linked, noisy, table
+from . import correction, relational
+from .store import written
+from .views import (
+    SQL_BROKEN, SQL_CHAIN_LINKS, SQL_LINES, SQL_LINKED, SQL_NOISY, SQL_PLANTED, broken, chain_links, in_page, lines, linked, noisy, planted, table,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -171,13 +174,17 @@ def rules_spans(spark, d):
     return lines(spark, d).select("line_id", F.inline(found)).select("line_id", "start", "text")
 
 
-@query()
+_LEXICON = ["pfie", "pfiege", "enbepfie", "einpfie", "enpfie", "verpfie", "enerpfie", "ofingbleer", "ofinerin"]  # words of the tables
+
+
+@query(f"""WITH {SQL_LINES}, t AS (SELECT line_id, string_split({SQL_NOISY}, ' ') AS w FROM lines)
+SELECT line_id, array_to_string(list_transform(w, lambda x: CASE WHEN length(x) - length(replace(x, 'ﬁ', '')) = 1 AND NOT contains(x, 'ſt')
+    AND trim(lower(replace(x, 'ﬁ', 'fi')), ' .,;:!?''"()[]«»—–-') IN ({", ".join(f"'{x}'" for x in _LEXICON)}) THEN replace(x, 'ﬁ', 'fi') ELSE replace(x, 'ſt', 'st') END), ' ') AS corrected FROM t""")
 def rules_regex(spark, d):
-    """Rules with a pattern and a lexicon over early spellings."""
-    lexicon = {"thin", "this", "thing", "est"}
-    table_ = [rules.Rule("ſ", "s"), rules.Rule(r"(t)h\b", r"\1hin", regex=True, guarded=True, name="th")]
-    found = rules.correct_with_rules(lines(spark, d).withColumn("text", noisy(C("text"))), table_, lexicon)
-    return found.select("line_id", "corrected", "n_spans")
+    """A pattern, and a rule that is guarded by a lexicon: a word with one ligature is changed if the new word is known."""
+    rows = lines(spark, d).withColumn("text", noisy(C("text")))
+    table_ = [rules.Rule("(?:ſ)(t)", r"s\1", regex=True, name="long s"), rules.Rule("ﬁ", "fi", guarded=True, name="ligature")]
+    return rules.correct_with_rules(rows, table_, set(_LEXICON)).select("line_id", "corrected")
 
 
 # --- identity ----------------------------------------------------------------------------------
@@ -188,9 +195,11 @@ def duplicate_ids(spark, d):
     return identity.duplicates(table(spark, d, "documents"), "text")
 
 
-@query(f"WITH {SQL_LINES} SELECT line_id FROM lines WHERE text = ''")
+@query("SELECT doc_id FROM documents WHERE doc_id % 10 < 2")
 def missing_ids(spark, d):
-    return identity.missing(lines(spark, d), "text").select("line_id")
+    """Ids that are empty or null by turns."""
+    name = F.when(C("doc_id") % 10 == 0, F.lit("")).when(C("doc_id") % 10 > 1, C("doc_id").cast("string"))
+    return identity.missing(table(spark, d, "documents").withColumn("name", name), "name").select("doc_id")
 
 
 @query("""WITH p AS (SELECT doc_id % 300 AS page_id, source FROM documents),
@@ -214,9 +223,9 @@ def hyphen_pairs(spark, d):
     return linked(spark, d).where("next_line is not null or prev_line is not null").select("line_id", "role", "next_line", "prev_line")
 
 
-@query(f"WITH {SQL_LINKED} SELECT line_id, role FROM linked WHERE (role IN ('PART1', 'BOTH') AND next_line IS NULL) OR (role IN ('PART2', 'BOTH') AND prev_line IS NULL)")
+@query(f"WITH {SQL_CHAIN_LINKS} SELECT line_id, role FROM linked WHERE (role IN ('PART1', 'BOTH') AND next_line IS NULL) OR (role IN ('PART2', 'BOTH') AND prev_line IS NULL)")
 def unpaired_breaks(spark, d):
-    return linking.unpaired_breaks(linked(spark, d)).select("line_id", "role")
+    return linking.unpaired_breaks(chain_links(spark, d)).select("line_id", "role")
 
 
 _UNITS = SQL_LINKED + """,
@@ -231,14 +240,24 @@ def hyphen_units(spark, d):
     return linking.units(linked(spark, d), doc="page_id").select("line_id", "unit_id", "member", "size")
 
 
-@query(f"WITH {_UNITS} SELECT size, count(*) // size AS n FROM units GROUP BY size")
+_CHAINS = SQL_CHAIN_LINKS + _UNITS[len(SQL_LINKED):]
+
+
+@query(f"WITH {SQL_CHAIN_LINKS} SELECT line_id, role, next_line, prev_line FROM linked")
+def chain_roles(spark, d):
+    """Roles of all lines where words run over three lines: BOTH in the middle."""
+    return chain_links(spark, d).select("line_id", "role", "next_line", "prev_line")
+
+
+@query(f"WITH {_CHAINS} SELECT size, count(*) // size AS n FROM units GROUP BY size")
 def unit_sizes(spark, d):
-    return linking.units(linked(spark, d), doc="page_id").where("member = 0").groupBy("size").agg(F.count("*").alias("n"))
+    return linking.units(chain_links(spark, d), doc="page_id").where("member = 0").groupBy("size").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_UNITS} SELECT line_id, CASE WHEN size <= 2 THEN unit_id ELSE unit_id || '#' || (member // 2) END AS unit_id_final FROM units")
+@query(f"WITH {_CHAINS} SELECT line_id, CASE WHEN size <= 2 THEN unit_id ELSE unit_id || '#' || (member // 2) END AS unit_id_final, member > 0 AND member % 2 = 0 AS split FROM units")
 def unit_splits(spark, d):
-    return linking.split_units(linking.units(linked(spark, d), doc="page_id"), 2).select("line_id", "unit_id_final")
+    """Units of three and more cut after every second line."""
+    return linking.split_units(linking.units(chain_links(spark, d), doc="page_id"), 2).select("line_id", "unit_id_final", "split")
 
 
 @query(f"""WITH {_UNITS}, flagged AS (SELECT line_id, unit_id, ord % 7 = 3 AS hit FROM units)
@@ -267,10 +286,27 @@ def chunk_windows_fixed(spark, d):
         F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CHAINS},
+l AS (SELECT b.page_id, b.line_id, length(b.text) AS c, u.unit_id, row_number() OVER (PARTITION BY b.page_id ORDER BY b.ord) - 1 AS i FROM broken b LEFT JOIN units u USING (line_id)),
+e AS (SELECT *, CASE WHEN unit_id IS NULL THEN i ELSE min(i) OVER (PARTITION BY page_id, unit_id) END AS head,
+  CASE WHEN unit_id IS NULL THEN i ELSE max(i) OVER (PARTITION BY page_id, unit_id) END AS tail FROM l),
+p AS (SELECT page_id, count(*) AS n, list(c ORDER BY i) AS c, list(tail ORDER BY i) AS tails FROM e GROUP BY 1),
+w(page_id, k, a, b, core) AS (
+  SELECT page_id, -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM p
+  UNION ALL
+  SELECT page_id, k + 1, s, least(greatest(core2, tails[core2] + 1), n, s + greatest(80, core2 - s + 10)), core2
+  FROM (SELECT page_id, k, s, n, tails, s + greatest(1, len(list_filter(range(1, least(s + 12, n) - s + 1), lambda j: list_sum(c[s + 1:s + j]) <= 300))) AS core2
+    FROM (SELECT w.page_id, k, n, c, tails, CASE WHEN k < 0 THEN 0 ELSE greatest(a + 1, CASE WHEN core < least(a + 12, n) THEN core ELSE a + 12 END - 1) END AS s FROM w JOIN p USING (page_id))
+    WHERE s < n)),
+held AS (SELECT e.page_id, e.line_id, e.unit_id, e.i, e.head, max(k) AS any_k, max(b) AS any_b, max(k) FILTER (a <= head AND tail < b) AS whole_k
+  FROM e JOIN w ON e.page_id = w.page_id AND k >= 0 AND a <= i AND i < b GROUP BY ALL),
+owned AS (SELECT h.page_id, CASE WHEN h.whole_k IS NOT NULL THEN h.whole_k WHEN h.i < f.any_b THEN f.any_k ELSE h.any_k END AS k
+  FROM held h LEFT JOIN (SELECT page_id, unit_id, any_k, any_b FROM held WHERE i = head AND unit_id IS NOT NULL) f ON h.page_id = f.page_id AND h.unit_id = f.unit_id),
+counted AS (SELECT page_id, k, count(*) AS n FROM owned GROUP BY 1, 2)
+SELECT w.page_id, k AS chunk_ix, CAST(b - a AS INTEGER) AS n_lines, CAST(coalesce(n, 0) AS INTEGER) AS n_targets FROM w LEFT JOIN counted USING (page_id, k) WHERE k >= 0""")
 def chunk_windows(spark, d):
     """Windows with a budget that keep units whole; every line is the target of one."""
-    return planning.plan_windows(linking.with_units(linked(spark, d), doc="page_id"), PlanPolicy(max_chars=700)).select(
+    return planning.plan_windows(linking.with_units(chain_links(spark, d), doc="page_id"), PlanPolicy(max_chars=300)).select(
         "page_id", "chunk_ix", F.size("line_ids").alias("n_lines"), F.size("target_ids").alias("n_targets"))
 
 
@@ -341,20 +377,21 @@ def edit_rejections(spark, d):
 
 
 def _pairs(spark, d):
-    """Pairs of linked lines and a proposal that moves the second's words into the first for some."""
-    rows = linked(spark, d)
+    """Pairs of linked lines, also of words over three lines, and proposals by turns: the same; the second's words in the first; the
+    second grown by words; another first word in the second; no mark in the first."""
+    rows = chain_links(spark, d)
     tail = rows.where("next_line is not null").select("ord", C("line_id"), C("text").alias("ocr1"), C("next_line"))
     pairs = tail.join(rows.select(C("line_id").alias("next_line"), C("text").alias("ocr2")), "next_line")
-    moved = F.concat(F.regexp_replace("ocr1", "-$", ""), "ocr2")
-    return pairs.select("line_id", "ord", "ocr1", "ocr2", F.when(C("ord") % 3 == 0, moved).otherwise(C("ocr1")).alias("new1"),
-                        F.when(C("ord") % 3 == 0, T.last_token(C("ocr2"))).otherwise(C("ocr2")).alias("new2"),
-                        F.lit(False).alias("explicit"), F.lit(None).cast("string").alias("subs"))
+    turn, bare = F.floor(C("ord") / 2) % 5, F.regexp_replace("ocr1", "-$", "")
+    return pairs.select("line_id", "ord", "ocr1", "ocr2", F.when(turn == 1, F.concat(bare, "ocr2")).when(turn == 4, bare).otherwise(C("ocr1")).alias("new1"),
+                        F.when(turn == 1, T.last_token(C("ocr2"))).when(turn == 2, F.concat("ocr2", F.lit(" et la"))).when(turn == 3, F.concat(F.lit("zz"), "ocr2")).otherwise(
+                            C("ocr2")).alias("new2"), F.lit(False).alias("explicit"), F.lit(None).cast("string").alias("subs"))
 
 
-_PAIRS = SQL_LINKED + f""",
-pairs0 AS (SELECT a.line_id, a.ord, a.text AS ocr1, b.text AS ocr2 FROM linked a JOIN linked b ON a.next_line = b.line_id),
-pairs AS (SELECT *, CASE WHEN ord % 3 = 0 THEN regexp_replace(ocr1, '-$', '') || ocr2 ELSE ocr1 END AS new1,
-  CASE WHEN ord % 3 = 0 THEN {toks('ocr2')}[-1] ELSE ocr2 END AS new2 FROM pairs0),
+_PAIRS = SQL_CHAIN_LINKS + f""",
+pairs0 AS (SELECT a.line_id, a.ord, a.text AS ocr1, b.text AS ocr2, a.ord // 2 % 5 AS turn FROM linked a JOIN linked b ON a.next_line = b.line_id),
+pairs AS (SELECT *, CASE turn WHEN 1 THEN regexp_replace(ocr1, '-$', '') || ocr2 WHEN 4 THEN regexp_replace(ocr1, '-$', '') ELSE ocr1 END AS new1,
+  CASE turn WHEN 1 THEN {toks('ocr2')}[-1] WHEN 2 THEN ocr2 || ' et la' WHEN 3 THEN 'zz' || ocr2 ELSE ocr2 END AS new2 FROM pairs0),
 counted AS (SELECT *, len({toks('ocr1')}) AS n1, len({toks('new1')}) AS m1, len({toks('ocr2')}) AS n2, len({toks('new2')}) AS m2 FROM pairs)"""
 
 
@@ -377,7 +414,14 @@ def stage_b_part2(spark, d):
     return _pairs(spark, d).select("line_id", guards.part2_migrated(C("ocr2"), C("new2")).alias("migrated"))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, bare AS (SELECT *, rtrim(regexp_replace(ocr1, '{MK}+$', '')) AS b, rtrim(regexp_replace(new1, '{MK}+$', ''), '.') AS nb,
+  lower({toks('ocr2')}[1]) AS f, lower({toks('new2')}[1]) AS g FROM counted)
+SELECT line_id, CASE WHEN len({toks('nb')}) > len({toks('b')}) + 1 OR length(regexp_replace({toks('nb')}[-1], '{MK}+$', '')) > length(regexp_replace({toks('b')}[-1], '{MK}+$', '')) + 3
+    OR length(nb) > length(b) * 1.4 + 8 THEN 'part1_migrated'
+  WHEN (n2 > 0 AND m2 < n2 * 0.4) OR m2 > n2 + greatest(3, CAST(floor(n2 * 0.4) AS BIGINT)) THEN 'part2_migrated'
+  WHEN NOT regexp_matches(new1, '{MK}{WS}*$') THEN 'break_mark_lost'
+  WHEN m1 = 0 OR m2 = 0 THEN 'empty_side' WHEN m2 > n2 THEN 'part2_words_grew'
+  WHEN f <> g AND NOT (length(f) >= 2 AND length(g) >= 2 AND f[1:2] = g[1:2] AND length(g) / greatest(length(f), 1) BETWEEN 0.5 AND 2.0) THEN 'boundary_word' END AS reason FROM bare""")
 def stage_b_reconcile(spark, d):
     return guards.reconcile_pairs(_pairs(spark, d)).select("line_id", "reason")
 
@@ -391,19 +435,39 @@ def _proposed(spark, d):
     return rows.withColumn("corrected", new)
 
 
-@query()
-def stage_c_accept(spark, d):
-    return guards.check_lines(_proposed(spark, d)).select("line_id", "reason", F.round("source_similarity", 4).alias("source_similarity"))
+_SIM = """CASE kind WHEN 'same' THEN 1.0 WHEN 'next' THEN 0.0 WHEN 'both' THEN 2.0 * n / (2 * n + 1 + nn) WHEN 'before' THEN 2.0 * n / (2 * n + 1 + pn) ELSE 2.0 * n / (2 * n + 1) END"""
 
 
-@query()
-def adjacent_duplicates(spark, d):
-    return guards.adjacent_duplicates(_proposed(spark, d), segment="page_id").where("duplicate").select("line_id")
+@query(f"""WITH {SQL_PLANTED}, s AS (SELECT *, {_SIM} AS sim FROM planted)
+SELECT line_id, CASE WHEN kind = 'same' THEN NULL WHEN sim < 0.35 THEN 'too_different_from_source'
+  WHEN kind = 'before' AND sim + 0.15 < 1 AND 2.0 * pn / (2 * pn + 1 + n) > sim + 0.15 THEN 'closer_to_previous_line'
+  WHEN kind = 'both' AND sim + 0.15 < 1 AND 2.0 * nn / (2 * nn + 1 + n) > sim + 0.15 THEN 'closer_to_next_line'
+  WHEN kind = 'both' AND n + 1 + nn > greatest(n, 1) * 1.2 THEN 'absorbs_next_line'
+  WHEN kind = 'before' AND nn IS NOT NULL AND n + 1 + pn > greatest(n, 1) * 1.2 AND 2.0 * n / (2 * n + 2 + pn + nn) > 0.8 THEN 'absorbs_next_line'
+  WHEN kind = 'before' AND n + 1 + pn > greatest(n, 1) * 1.2 THEN 'absorbs_previous_line' END AS reason, sim AS source_similarity FROM s""")
+def stage_c_accept(spark, d):
+    return guards.check_lines(planted(spark, d)).select("line_id", "reason", "source_similarity")
 
 
-@query()
+@query(f"""WITH {SQL_PLANTED}, s AS (SELECT *, lead(kind) OVER w AS kind2, lead(nn) OVER w AS nnn FROM planted WINDOW w AS (PARTITION BY page_id ORDER BY ord)),
+h AS (SELECT *, (kind = 'next' AND kind2 = 'both' AND 2.0 * nn / (2 * nn + 1 + nnn) >= 0.85) OR (kind = 'next' AND kind2 = 'same') OR (kind = 'both' AND kind2 = 'before') AS hit FROM s)
+SELECT line_id FROM (SELECT line_id, coalesce(hit, false) OR coalesce(lag(hit) OVER w, false) AS found FROM h WINDOW w AS (PARTITION BY page_id ORDER BY ord)) WHERE found""")
+def adjacent_duplicates(spark, d):
+    return guards.adjacent_duplicates(planted(spark, d), segment="page_id").where("duplicate").select("line_id")
+
+
+@query(f"""WITH {SQL_PLANTED}, c AS (
+  SELECT *, CASE kind WHEN 'next' THEN nxt WHEN 'both' THEN nxt WHEN 'mark' THEN text || '~' ELSE text END AS last_new,
+    CASE kind WHEN 'next' THEN nxt WHEN 'before' THEN prv WHEN 'mark' THEN text || '~' ELSE text END AS first_new FROM planted),
+p AS (SELECT *, lead(first_new) OVER w AS b_new, lead(kind) OVER w AS kind2, lag(text) OVER w AS _ FROM c WINDOW w AS (PARTITION BY page_id ORDER BY ord)),
+seam AS (SELECT *, CASE
+    WHEN nxt IS NOT NULL AND ((kind IN ('next', 'both') AND 2.0 * nn / (2 * nn + n) > 0.8 AND 2.0 * nn / (2 * nn + n) > 0.15)
+      OR (kind = 'mark' AND 2.0 * n / (2 * n + nn + 1) > 0.8 AND 2.0 * n / (2 * n + nn + 1) > 2.0 * n / (2 * n + 1) + 0.15)
+      OR (lower(last_new) <> lower(text) AND lower(b_new) <> lower(nxt) AND (lower(last_new) = lower(nxt) OR lower(b_new) = lower(text)))) THEN 'boundary_migration_forward'
+    WHEN nxt IS NOT NULL AND kind2 = 'before' AND 2.0 * n / (2 * n + nn) > 0.8 THEN 'boundary_migration_backward' END AS here FROM p)
+SELECT line_id, migration FROM (SELECT line_id, coalesce(here, lag(here) OVER w) AS migration FROM seam WINDOW w AS (PARTITION BY page_id ORDER BY ord)) WHERE migration IS NOT NULL""")
 def boundary_migration(spark, d):
-    return guards.boundary_migration(_proposed(spark, d), segment="page_id").where("migration is not null").select("line_id", "migration")
+    return guards.boundary_migration(planted(spark, d), segment="page_id").where("migration is not null").select("line_id", "migration")
 
 
 _DECIDED = _UNITS + """,
@@ -463,17 +527,27 @@ def char_similarity(spark, d):
     return rows.select("line_id", F.when(C("nxt").isNotNull(), T.char_similarity(C("text"), C("nxt"))).alias("similarity"))
 
 
-@query()
+# A token with noise: its letters, its changes, its similarity to the token without noise.
+_NOISED = SQL_LINES + f""",
+tok AS (SELECT line_id, unnest({toks('text')}) AS t FROM lines),
+noised AS (SELECT line_id, t, length(t) AS n, (length(t) - length(replace(t, 'fi', ''))) // 2 AS fi,
+  (length(replace(t, 'fi', '')) - length(replace(replace(t, 'fi', ''), 'fl', ''))) // 2 AS fl, (length(t) - length(replace(t, 'st', ''))) // 2 AS st FROM tok),
+alike AS (SELECT *, 1.0 - (2 * (fi + fl) + st) / n AS s FROM noised)"""
+
+
+@query(f"""WITH {_NOISED}, per AS (SELECT line_id, count(*) AS n, count(*) FILTER (s <= 1e-12) AS gaps, sum(s) AS total FROM alike GROUP BY 1)
+SELECT line_id, CAST(coalesce(n + gaps, 0) AS INTEGER) AS pairs, coalesce(round(total / n, 6), 0.0) AS score, false AS move_suspected, false AS band_exhausted FROM lines LEFT JOIN per USING (line_id)""")
 def token_alignment(spark, d):
     a = align.align_tokens(noisy(C("text")), C("text"))
     return lines(spark, d).select("line_id", a.alias("a")).select(
         "line_id", F.size("a.pairs").alias("pairs"), F.round("a.score", 6).alias("score"), "a.move_suspected", "a.band_exhausted")
 
 
-@query()
+@query(f"WITH {SQL_LINES} SELECT page_id, CAST(ord AS BIGINT) AS ord, CASE WHEN ord % 9 <> 8 THEN CAST(ord AS BIGINT) END AS returned_ord, false AS band_exhausted FROM lines")
 def page_alignment(spark, d):
-    """Every page against itself with noise and every ninth line missing."""
-    rows = lines(spark, d).select("page_id", "ord", "text")
+    """Every page against itself with noise and every ninth line missing; a mark of its own at both ends of a line tells lines apart."""
+    mark = F.concat(F.lit("k"), C("ord").cast("string"))
+    rows = lines(spark, d).select("page_id", "ord", F.concat_ws(" ", mark, F.concat(F.lit("m"), mark), F.concat(F.lit("n"), mark), "text").alias("text"))
     return align.align_pages(rows, rows.where("ord % 9 <> 8").withColumn("text", noisy(C("text"))))
 
 
@@ -484,7 +558,10 @@ def confidence_min(spark, d):
     return confidence.line_confidence(rows).select("line_id", C("confidence.decision").alias("decision"))
 
 
-@query()
+@query(f"""WITH {_NOISED}, scored AS (SELECT *, CASE WHEN fi + fl + st = 0 THEN NULL WHEN s <= 1e-12 THEN 0.7 WHEN fi + fl + st = 1 THEN greatest(s, 0.95) ELSE s END AS event,
+    CASE WHEN fi + fl + st > 0 AND s <= 1e-12 THEN 2 ELSE 1 END AS k FROM alike),
+per AS (SELECT line_id, sum(s) / count(*) AS alignment, sum(event) / sum(k) FILTER (event IS NOT NULL) AS scorer FROM scored GROUP BY 1)
+SELECT line_id, CASE WHEN text = {SQL_NOISY} THEN 1.0 ELSE round(least(alignment, coalesce(scorer, 1.0)), 6) END AS decision FROM lines LEFT JOIN per USING (line_id)""")
 def confidence_scores(spark, d):
     """Confidence of corrections that undo the noise."""
     rows = lines(spark, d).select("line_id", noisy(C("text")).alias("source_text"), C("text").alias("final_text"),
@@ -589,13 +666,109 @@ def page_rewrite(spark, d):
     return _rewritten(spark, d, "page").drop("path")
 
 
-@query()
+@query(f"""WITH x AS ({_XML_SQL}), c AS (SELECT CASE WHEN ord % 3 = 0 AND contains(text, 'e') THEN 'fast' WHEN ord % 3 = 1 AND text <> '' THEN 'slow' ELSE 'untouched' END AS path FROM x)
+SELECT path, count(*) AS n FROM c GROUP BY 1""")
 def rewrite_paths(spark, d):
     return _rewritten(spark, d, "alto").groupBy("path").agg(F.count("*").alias("n"))
 
 
+# --- whole runs over files with marks of broken words ------------------------------------------
+
+
+def _marked(spark, d):
+    """``chained`` lines as ALTO files: several pages of twenty lines, several blocks of seven, margins, and in every second document
+    HYP and SUBS. Words over more than two lines name a whole word that their halves do not give."""
+    w = Window.partitionBy("page_id").orderBy("ord")
+    rows = linking.with_units(chain_links(spark, d), doc="page_id").withColumn("text", F.regexp_replace("text", r"[\x00-\x1f]", "")).withColumn("rank", F.row_number().over(w) - 1)
+    bare = T.strip_trailing_break_marks(T.last_token(C("text")))
+    word = F.when(C("next_line").isNotNull() & (C("page_id") % 2 == 0), F.concat(bare, T.first_token(F.lead("text").over(w)), F.when(C("size") > 2, "x").otherwise("")))
+    rows = rows.withColumn("ends", word).withColumn("begins", F.lag("ends").over(w))
+    esc = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    subs = lambda kind, x: F.when(x.isNotNull(), F.concat(F.lit(f' SUBS_TYPE="{kind}" SUBS_CONTENT="'), esc(x), F.lit('"'))).otherwise("")
+    hyphen = (C("page_id") % 2 == 0) & C("role").isin("PART1", "BOTH")
+    tokens = T.py_tokens(F.when(hyphen, T.strip_trailing_break_marks(C("text"))).otherwise(C("text")))
+    mark = F.regexp_extract("text", f"({MK})$", 1)
+    n = F.size(tokens)
+    each = F.transform(tokens, lambda t, i: F.concat(F.lit('<String CONTENT="'), esc(t), F.lit('" WC="0.5"'), F.when(i == 0, subs("HypPart2", C("begins"))).otherwise(""),
+        F.when((i == n - 1) & ((n > 1) | C("begins").isNull()), subs("HypPart1", C("ends"))).otherwise(""), F.lit("/>")))
+    line = F.concat(F.lit('<TextLine ID="L'), C("rank"), F.lit('" HPOS="0" VPOS="'), (C("rank") % 20) * 20, F.lit('" WIDTH="500" HEIGHT="10">'), F.array_join(each, '<SP WIDTH="3"/>'),
+                    F.when(hyphen, F.concat(F.lit('<HYP CONTENT="'), mark, F.lit('"/>'))).otherwise(""), F.lit("</TextLine>"))
+    rows = rows.select("page_id", "rank", (F.floor(C("rank") / 20)).alias("page"), F.floor(C("rank") / 7).alias("block"), line.alias("xml"))
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(c, "xml"))), lambda x: x["xml"]), "")
+    blocks = rows.groupBy("page_id", "page", "block").agg(F.concat(F.lit('<TextBlock ID="B'), C("block"), F.lit('">'), ordered("rank"), F.lit("</TextBlock>")).alias("xml"))
+    pages = blocks.groupBy("page_id", "page").agg(F.concat(
+        F.lit('<Page ID="P'), C("page"), F.lit('" WIDTH="900" HEIGHT="900"><TopMargin><TextBlock ID="M'), C("page"), F.lit('"><TextLine ID="T'), C("page"),
+        F.lit('"><String CONTENT="g"/></TextLine></TextBlock></TopMargin><PrintSpace>'), ordered("block"), F.lit("</PrintSpace></Page>")).alias("xml"))
+    head = '<?xml version="1.0" encoding="UTF-8"?><alto xmlns="http://www.loc.gov/standards/alto/ns-v4#"><Layout>'
+    return pages.groupBy("page_id").agg(F.concat(F.lit(head), ordered("page"), F.lit("</Layout></alto>")).cast("binary").alias("content")).select(
+        F.concat(F.lit("doc-"), "page_id", F.lit(".xml")).alias("path"), "content")
+
+
+def _run(spark, d):
+    """All marked files, each a document, corrected by one rule."""
+    files = written(_marked(spark, d))
+    parsed = written(ocr_xml.lines_of(files, "failfast").withColumn("doc_id", C("source_file")))
+    return correction.rewritten(files, parsed, rule_list=[rules.Rule("g", "ġ")])
+
+
+_RUN_SQL = SQL_CHAIN_LINKS + f""",
+started AS (SELECT *, sum(CASE WHEN prev_line IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY ord) AS unit_no
+  FROM linked WHERE next_line IS NOT NULL OR prev_line IS NOT NULL),
+sized AS (SELECT line_id, unit_no, count(*) OVER (PARTITION BY page_id, unit_no) AS size FROM started),
+flat AS (SELECT l.page_id, l.line_id, l.ord, l.role, l.next_line, l.prev_line, unit_no, size, nfc_normalize(array_to_string({toks("regexp_replace(text, '[\x00-\x1f]', '', 'g')")}, ' ')) AS text,
+  row_number() OVER (PARTITION BY page_id ORDER BY l.ord) - 1 AS rank FROM linked l LEFT JOIN sized USING (line_id)),
+worded AS (SELECT *, replace(text, 'g', 'ġ') AS new, page_id % 2 = 0 AS told, lead(text) OVER w AS nxt,
+  CASE WHEN next_line IS NOT NULL THEN regexp_replace({toks('text')}[-1], '{MK}+$', '') || {toks('lead(text) OVER w')}[1] END AS word FROM flat WINDOW w AS (PARTITION BY page_id ORDER BY ord)),
+paired AS (SELECT *, {toks('nxt')}[1] AS f, CASE WHEN next_line IS NULL THEN NULL
+    WHEN told AND size <= 2 AND NOT contains(word, 'g') THEN 'coherent'
+    WHEN (contains(text, 'g') OR contains(nxt, 'g')) AND (told OR (contains({toks('nxt')}[1], 'g') AND (length({toks('nxt')}[1]) < 2 OR contains({toks('nxt')}[1][1:2], 'g')))) THEN 'fallback'
+    ELSE 'neutralised' END AS outcome FROM worded),
+fallen AS (SELECT *, lag(outcome) OVER w AS before, lag(word) OVER w AS begins FROM paired WINDOW w AS (PARTITION BY page_id ORDER BY ord)),
+decided AS (SELECT *, coalesce(outcome = 'fallback', false) OR (prev_line IS NOT NULL AND before = 'fallback') AS own,
+  CASE WHEN unit_no IS NULL THEN false ELSE bool_or(coalesce(outcome = 'fallback', false)) OVER (PARTITION BY page_id, unit_no) END AS fell FROM fallen),
+ended AS (SELECT *, CASE WHEN fell THEN text ELSE new END AS final,
+  CASE WHEN told AND prev_line IS NOT NULL AND before = 'coherent' THEN begins END AS begin_word, CASE WHEN told AND outcome = 'coherent' THEN word END AS end_word,
+  told AND ((prev_line IS NOT NULL AND before <> 'coherent') OR (next_line IS NOT NULL AND outcome <> 'coherent' AND (prev_line IS NULL OR len({toks('text')}) > 1))) AS unmarked FROM decided),
+run AS (SELECT 'doc-' || page_id || '.xml' AS doc_id, 'P' || (rank // 20) AS page_id, 'L' || rank AS line_id, role, text, final, outcome, next_line, prev_line, begin_word, end_word,
+  CASE WHEN fell THEN 'fallback' ELSE 'corrected' END AS status, CASE WHEN own THEN 'hyphen_pair_fallback' WHEN fell THEN 'hyphen_unit_fallback' END AS code,
+  CASE WHEN final <> text THEN 'fast' WHEN unmarked THEN 'subs_only' ELSE 'untouched' END AS path FROM ended)"""
+
+
+@query(f"WITH {_RUN_SQL} SELECT doc_id, line_id, path, final AS text, begin_word, end_word FROM run")
+def subs_rewrite(spark, d):
+    """What the rewritten files say: texts, and the whole words that broken ends are marked with."""
+    done = _run(spark, d)
+    said = done.files.select("source_file", F.inline("lines")).select(C("source_file").alias("doc_id"), "line_id", "path")
+    read = ocr_xml.lines_of(done.files.select(C("source_file").alias("path"), "content"), "failfast", ("source_file", "line_id", "text", "tokens"))
+    words = F.filter("tokens", lambda t: t["kind"] == "String")
+    first, last = F.try_element_at(words, F.lit(1)), F.try_element_at(words, F.lit(-1))
+    return said.join(read.select(C("source_file").alias("doc_id"), "line_id", "text", F.when(first["subs_type"] == "HypPart2", first["subs_content"]).alias("begin_word"),
+        F.when(last["subs_type"] == "HypPart1", last["subs_content"]).alias("end_word")), ["doc_id", "line_id"])
+
+
+@query(f"WITH {_RUN_SQL} SELECT doc_id, page_id, line_id, role, status, code, final AS final_text, path, 'exact' AS fidelity FROM run")
+def line_outcomes(spark, d):
+    """Every line's way from its source through the decision to the file."""
+    return _run(spark, d).outcomes.select(
+        "doc_id", "page_id", "line_id", C("hyphen_role").alias("role"), "decision.status", C("decision.reason.code").alias("code"), "decision.final_text",
+        C("projection.rewriter_path").alias("path"), "projection.fidelity")
+
+
+@query(f"""WITH {_RUN_SQL}, pages AS (SELECT DISTINCT doc_id, page_id FROM run)
+SELECT 'document_parsed' AS type, count(DISTINCT doc_id) AS n, count(*) AS total FROM run
+UNION ALL SELECT 'page_started', count(*), (SELECT count(*) FROM run) FROM pages
+UNION ALL SELECT 'page_completed', count(*), (SELECT count(*) FROM run WHERE status = 'corrected' AND final <> text) FROM pages
+UNION ALL SELECT 'hyphen_partner_missing', count(*), 0 FROM run WHERE (role IN ('PART1', 'BOTH') AND next_line IS NULL) OR (role IN ('PART2', 'BOTH') AND prev_line IS NULL)
+UNION ALL SELECT 'reconcile_stats', count(DISTINCT outcome), count(outcome) FROM run
+UNION ALL SELECT 'rewriter_stats', count(DISTINCT doc_id), (SELECT count(*) FROM run WHERE path = 'subs_only') FROM run""")
+def run_events(spark, d):
+    """Events of a run by type, with the total of what they count."""
+    value = lambda k: F.element_at("payload", k).cast("long")
+    total = F.coalesce(value("total_lines"), F.when(C("type") == "page_started", value("line_count")), value("corrections"), value("n"), value("subs_only"), F.lit(0))
+    return _run(spark, d).events.withColumn("total", total).groupBy("type").agg(F.count("*").alias("n"), F.sum("total").alias("total"))
+
+
 # --- ordinary relational queries ---------------------------------------------------------------
 
 QUERIES |= relational.QUERIES
 SQL |= relational.SQL
-del Window

@@ -56,8 +56,9 @@ def order_cube(spark, d):
 
 
 def customers_without_orders(spark, d):
-    """Anti join and set difference."""
-    return table(spark, d, "customer").join(table(spark, d, "orders"), C("c_custkey") == C("o_custkey"), "left_anti").select("c_custkey")
+    """Anti join: customers without an urgent order."""
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, d, "customer").join(urgent, C("c_custkey") == C("o_custkey"), "left_anti").select("c_custkey")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -75,5 +76,5 @@ SELECT user_id, session, count(*) AS n, round(sum(value), 4) AS total FROM s GRO
     "event_rank": """SELECT event_type, event_id, value, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS INTEGER) AS rank
   FROM events) WHERE rank <= 3""",
     "order_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
-    "customers_without_orders": "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey",
+    "customers_without_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
 }

@@ -87,3 +87,73 @@ linked AS (
 
 def in_page(by: str = "ord"):
     return Window.partitionBy("page_id").orderBy(by)
+
+
+ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "αβγδεζηθικλμνξοπρστυφχψωςϕϑ"]
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as one word each, in three alphabets by turns, with a proposal for each: page_id, line_id, ord, text, prev_text, next_text, corrected.
+
+    Lines less than three apart share no character, so the similarity of any two texts made of them has a closed form, which SQL can say.
+    By turns a proposal is the line, the next line, the line with the next, the line before with the line, the line with a mark."""
+    w = in_page()
+    bare = F.regexp_replace(F.lower("text"), "[^a-z]", "")
+    own = F.when(F.col("ord") % 3 == 0, bare).when(F.col("ord") % 3 == 1, F.upper(bare)).otherwise(F.translate(bare, ALPHABETS[0], ALPHABETS[2]))
+    rows = lines(spark, sf_dir).where(bare != "").withColumn("ord", F.row_number().over(w) - 1)
+    rows = rows.select("page_id", F.concat_ws("_", "page_id", "ord").alias("line_id"), "ord", own.alias("text"))
+    rows = rows.withColumn("prev_text", F.lag("text").over(w)).withColumn("next_text", F.lead("text").over(w))
+    turn, blank = F.col("ord") % 5, F.lit(" ")
+    new = F.when((turn == 1) & F.col("next_text").isNotNull(), F.col("next_text")).when(
+        (turn == 2) & F.col("next_text").isNotNull(), F.concat("text", blank, "next_text")).when(
+        (turn == 3) & F.col("prev_text").isNotNull(), F.concat("prev_text", blank, "text")).when(turn == 4, F.concat("text", F.lit("~"))).otherwise(F.col("text"))
+    return rows.withColumn("corrected", new)
+
+
+SQL_PLANTED = SQL_LINES + f""",
+bare AS (SELECT page_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS x, row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1 AS ord
+  FROM lines WHERE regexp_matches(lower(text), '[a-z]')),
+own AS (SELECT page_id, concat_ws('_', page_id, ord) AS line_id, ord,
+  CASE ord % 3 WHEN 0 THEN x WHEN 1 THEN upper(x) ELSE translate(x, '{ALPHABETS[0]}', '{ALPHABETS[2]}') END AS text FROM bare),
+near AS (SELECT *, lag(text) OVER w AS prv, lead(text) OVER w AS nxt FROM own WINDOW w AS (PARTITION BY page_id ORDER BY ord)),
+planted AS (SELECT *, CASE WHEN ord % 5 = 1 AND nxt IS NOT NULL THEN 'next' WHEN ord % 5 = 2 AND nxt IS NOT NULL THEN 'both'
+    WHEN ord % 5 = 3 AND prv IS NOT NULL THEN 'before' WHEN ord % 5 = 4 THEN 'mark' ELSE 'same' END AS kind,
+  length(text) AS n, length(nxt) AS nn, length(prv) AS pn FROM near)"""
+
+
+def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of five words in which long last words are broken, the longest over three lines, and every seventh page ends in a
+    broken word that nothing continues: page_id, line_id, ord, text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    words = docs.select("doc_id", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("pos", "tok"))
+    row, last = F.floor(F.col("pos") / 5).cast("int"), F.col("pos") % 5 == 4
+    long_, longest = last & F.col("tok").rlike("^[A-Za-z]{7,}$"), last & F.col("tok").rlike("^[A-Za-z]{9,}$")
+    piece = lambda at, text: F.struct(at.cast("int").alias("ord"), F.col("pos").alias("p"), text.alias("t"))
+    cut = lambda a, n: F.substr("tok", F.lit(a), F.lit(n))
+    parts = F.when(longest, F.array(piece(row * 2, F.concat(cut(1, 3), F.lit("-"))), piece(row * 2 + 1, F.concat(cut(4, 3), F.lit("-"))),
+                                    piece(row * 2 + 2, F.substr("tok", F.lit(7))))).when(
+        long_, F.array(piece(row * 2, F.concat(cut(1, 3), F.lit("-"))), piece(row * 2 + 2, F.substr("tok", F.lit(4))))).otherwise(
+        F.array(piece(row * 2, F.col("tok"))))
+    tail = docs.where("doc_id % 7 = 0").select("doc_id", F.lit(1_000_000).alias("ord"), F.lit(0).alias("p"), F.lit("un-").alias("t"))
+    joined = words.select("doc_id", F.inline(parts)).unionByName(tail).groupBy("doc_id", "ord").agg(F.array_sort(F.collect_list(F.struct("p", "t"))).alias("all"))
+    return joined.select(F.col("doc_id").alias("page_id"), F.concat_ws("_", "doc_id", "ord").alias("line_id"), "ord",
+                         F.array_join(F.transform("all", lambda x: x["t"]), " ").alias("text"))
+
+
+SQL_CHAINED = SQL_BROKEN.split("cuts AS (")[0] + """
+pieces AS (
+  SELECT doc_id, pos // 5 * 2 AS ord, pos AS p, CASE WHEN pos % 5 = 4 AND regexp_full_match(tok, '[A-Za-z]{7,}') THEN substr(tok, 1, 3) || '-' ELSE tok END AS t FROM words
+  UNION ALL SELECT doc_id, pos // 5 * 2 + 1, pos, substr(tok, 4, 3) || '-' FROM words WHERE pos % 5 = 4 AND regexp_full_match(tok, '[A-Za-z]{9,}')
+  UNION ALL SELECT doc_id, pos // 5 * 2 + 2, pos, substr(tok, CASE WHEN length(tok) >= 9 THEN 7 ELSE 4 END) FROM words WHERE pos % 5 = 4 AND regexp_full_match(tok, '[A-Za-z]{7,}')
+  UNION ALL SELECT doc_id, 1000000, 0, 'un-' FROM documents WHERE doc_id % 7 = 0),
+broken AS (
+  SELECT doc_id AS page_id, concat_ws('_', doc_id, ord) AS line_id, CAST(ord AS INTEGER) AS ord, string_agg(t, ' ' ORDER BY p) AS text
+  FROM pieces GROUP BY doc_id, ord)"""
+SQL_CHAIN_LINKS = SQL_CHAINED + SQL_LINKED[len(SQL_BROKEN):]
+
+
+def chain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chained`` with roles and links."""
+    from ..operators import linking
+
+    return linking.link_lines(linking.heuristic_roles(chained(spark, sf_dir)), doc="page_id")
