@@ -21,10 +21,10 @@ def test_entry_and_registry(spark):
 def test_windows_target_every_line_once(spark):
     from pyspark.sql import functions as F
 
-    from lectern.plans.views import broken
+    from lectern.plans.views import chained
 
     planned = QUERIES["chunk_windows"](spark, DATA).agg(F.sum("n_targets")).first()[0]
-    assert planned == broken(spark, DATA).count()
+    assert planned == chained(spark, DATA).count()
 
 
 def plain_distance(a, b):
