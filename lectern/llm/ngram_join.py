@@ -221,7 +221,7 @@ def _cross(sig: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndar
     return np.concatenate(left), np.concatenate(right)
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None, broadcast_nodes: int = 1_000_000) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None, broadcast_nodes: int = 300_000) -> DataFrame:
     """One row per row: id, class_id (the smallest id reachable by links), n_links (other rows
     linked directly, copies included), kept (the row is its class's representative), and, under the name ``row``
     if one is given, the checksum ``xxhash64`` of the row's text.
