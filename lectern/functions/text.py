@@ -186,13 +186,19 @@ def changed_chars(a: Column, b: Column) -> Column:
     return F.when(a == b, 0).otherwise(F.greatest(F.length(a), F.length(b)) - head - tail)
 
 
-def quality_score(text: Column) -> Column:
-    """The share of word tokens with a digit next to a letter (0 without a word token)."""
+def quality_score(text: Column, lexicon: set[str] = frozenset()) -> Column:
+    """The share of word tokens that look broken (0 without a word token): a digit next to a letter, or, with a lexicon,
+    a word that it does not hold. Old spellings are no sign of damage, so the lexicon should be of the text's own time."""
     strip = "[" + "".join("\\" + c if c in "\\[]-^" else c for c in PUNCTUATION) + "]+"
     core = F.transform(py_tokens(text), lambda t: F.regexp_replace(t, f"^{strip}|{strip}$", ""))
     tokens = F.filter(core, lambda t: t.rlike(r"[\p{L}\p{N}]"))
-    odd = F.filter(tokens, lambda t: t.rlike(r"\p{L}\p{N}|\p{N}\p{L}"))
-    return F.when(F.size(tokens) == 0, 0.0).otherwise(F.size(odd) / F.size(tokens))
+    odd = lambda t: t.rlike(r"\p{L}\p{N}|\p{N}\p{L}")
+    if lexicon:
+        known = sorted({w.casefold() for w in lexicon})
+        own = odd
+        odd = lambda t: own(t) | (~t.rlike(r"^\p{N}+$") & ~F.lower(t).isin(known))
+    found = F.filter(tokens, odd)
+    return F.when(F.size(tokens) == 0, 0.0).otherwise(F.size(found) / F.size(tokens))
 
 
 def route(score: Column, low: float | None, high: float | None) -> Column:

@@ -137,6 +137,28 @@ def split_units(members: DataFrame, cap: int) -> DataFrame:
             F.concat_ws("#", F.col("unit_id").cast("string"), part.cast("string"))))
 
 
+def sever(rows: DataFrame, cap: int) -> DataFrame:
+    """Units longer than ``cap`` lines cut into parts that a request can hold; ``severed`` marks the last line before a cut.
+
+    ``rows``: of ``with_units``. The cut halves become lines of their own: the link, the role's half and the whole word go, the texts stay. A part of
+    one line is no unit."""
+    part = F.floor(F.col("member") / cap)
+    long_ = F.coalesce(F.col("size") > cap, F.lit(False))
+    tail = long_ & (F.col("member") % cap == cap - 1) & (F.col("member") < F.col("size") - 1)
+    head = long_ & (F.col("member") > 0) & (F.col("member") % cap == 0)
+    alone = long_ & (F.col("member") == F.col("size") - 1) & head
+    none = lambda c: F.lit(None).cast(dict(rows.dtypes)[c])
+    role = F.when(tail & (F.col("role") == "BOTH"), "PART2").when(tail, "NONE").when(head & (F.col("role") == "BOTH"), "PART1").when(head, "NONE").otherwise(F.col("role"))
+    role = F.when(tail & head, "NONE").otherwise(role)
+    out = rows.withColumn("severed", tail).withColumn("role", role).withColumn("next_line", F.when(tail, none("next_line")).otherwise(F.col("next_line"))).withColumn(
+        "prev_line", F.when(head, none("prev_line")).otherwise(F.col("prev_line")))
+    if {*MARKUP} <= set(rows.columns):
+        out = out.withColumn("end_subs", F.when(tail, none("end_subs")).otherwise(F.col("end_subs"))).withColumn(
+            "begin_subs", F.when(head, none("begin_subs")).otherwise(F.col("begin_subs")))
+    unit = F.when(alone, none("unit_id")).when(long_, F.concat_ws("#", F.col("unit_id").cast("string"), part.cast("string"))).otherwise(F.col("unit_id").cast("string"))
+    return out.withColumn("unit_id", unit)
+
+
 def pair_fields(lines: DataFrame, w) -> DataFrame:
     """Neighbours of every line: prev_text, next_text, prev_role, next_role."""
     return lines.select(

@@ -222,10 +222,25 @@ def test_words_that_cannot_be_aligned_go_to_the_sidecar(spark):
     rows = [("d", "P", "a", 0, "one two three four", 4), ("d", "P", "b", 1, "alpha beta gamma", 3)]
     lines = correction.prepare(spark.createDataFrame(rows, LINE + ", word_count int"))
     new = F.when(F.col("line_id") == "a", F.lit("four one two three x")).otherwise(F.lit("alpha beta gamma delta"))
-    got = correction.judge(lines.withColumn("corrected", new), correction.Policies(loss=LossPolicy(realign=True)))
+    got = correction.judge(lines.withColumn("corrected", new), correction.Policies(loss=LossPolicy(least_alignment=0.6)))
     assert {r["line_id"]: r["status"] for r in got.collect()} == {"a": "fallback", "b": "corrected"}
     side = report.sidecar(got).collect()
-    assert [(r["line_id"], r["corrected_text"], r["reason"].split(":")[0]) for r in side] == [("a", "four one two three x", "format_loss")]
+    assert [(r["line_id"], r["corrected_text"], r["reason"].split(":")[0]) for r in side] == [("a", "four one two three x", "token_realign")]
+    got = correction.judge(lines.withColumn("corrected", new), correction.Policies(loss=LossPolicy(strict=True)))
+    assert {r["line_id"]: (r["fallback_reason"] or "").split(":")[0] for r in got.collect()} == {"a": "format_loss", "b": "format_loss"}
+
+
+def test_chains_longer_than_a_request_are_cut(spark):
+    rows = [("d", "P", f"l{i}", i, "mot-" if i < 4 else "fin") for i in range(5)]
+    got = correction.correct(spark.createDataFrame(rows, LINE), policies=correction.Policies(plan=PlanPolicy(max_lines=2, window=2, overlap=1)))
+    assert [(r["line_id"], r["role"], r["next_line"]) for r in got.decisions.orderBy("ord").collect()] == [
+        ("l0", "PART1", "P::l1"), ("l1", "PART2", None), ("l2", "PART1", "P::l3"), ("l3", "PART2", None), ("l4", "NONE", None)]
+    assert got.report["hyphen_splits"] == 2 and got.report["unpaired_breaks"] is None
+
+
+def test_quality_with_a_lexicon(spark):
+    score = lambda x: spark.range(1).select(T.quality_score(F.lit(x), {"la", "Maison"})).first()[0]
+    assert [score(x) for x in ("la maison,", "la maisqn", "12 la", "l4 la", "...")] == [0.0, 0.5, 0.0, 0.5, 0.0]
 
 
 def test_folders_are_documents(spark, tmp_path):
