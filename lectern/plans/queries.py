@@ -714,8 +714,11 @@ def _run(spark, d):
 _RUN_SQL = SQL_CHAIN_LINKS + f""",
 started AS (SELECT *, sum(CASE WHEN prev_line IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY ord) AS unit_no
   FROM linked WHERE next_line IS NOT NULL OR prev_line IS NOT NULL),
-sized AS (SELECT line_id, unit_no, count(*) OVER (PARTITION BY page_id, unit_no) AS size FROM started),
-flat AS (SELECT l.page_id, l.line_id, l.ord, l.role, l.next_line, l.prev_line, unit_no, size, nfc_normalize(array_to_string({toks("regexp_replace(text, '[\x00-\x1f]', '', 'g')")}, ' ')) AS text,
+whole AS (SELECT line_id, unit_no AS no, count(*) OVER (PARTITION BY page_id, unit_no) AS size, row_number() OVER (PARTITION BY page_id, unit_no ORDER BY ord) - 1 AS member FROM started),
+sized AS (SELECT line_id, size, CASE WHEN size > 80 AND member > 0 AND member % 80 = 0 AND member = size - 1 THEN NULL ELSE no || '#' || (member // 80) END AS unit_no,
+  size > 80 AND member % 80 = 79 AND member < size - 1 AS tail, size > 80 AND member > 0 AND member % 80 = 0 AS head FROM whole),
+flat AS (SELECT l.page_id, l.line_id, l.ord, CASE WHEN tail THEN CASE role WHEN 'BOTH' THEN 'PART2' ELSE 'NONE' END WHEN head THEN CASE role WHEN 'BOTH' THEN 'PART1' ELSE 'NONE' END ELSE role END AS role,
+  CASE WHEN NOT coalesce(tail, false) THEN l.next_line END AS next_line, CASE WHEN NOT coalesce(head, false) THEN l.prev_line END AS prev_line, unit_no, size, nfc_normalize(array_to_string({toks("regexp_replace(text, '[\x00-\x1f]', '', 'g')")}, ' ')) AS text,
   row_number() OVER (PARTITION BY page_id ORDER BY l.ord) - 1 AS rank FROM linked l LEFT JOIN sized USING (line_id)),
 worded AS (SELECT *, replace(text, 'g', 'ġ') AS new, page_id % 2 = 0 AS told, lead(text) OVER w AS nxt,
   CASE WHEN next_line IS NOT NULL THEN regexp_replace({toks('text')}[-1], '{MK}+$', '') || {toks('lead(text) OVER w')}[1] END AS word FROM flat WINDOW w AS (PARTITION BY page_id ORDER BY ord)),
