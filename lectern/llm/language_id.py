@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import cut, table
 
 SLICE = 1 << 19  # symbols of a group of texts scored at a time
 GROUP = 32  # languages with dense columns at a time
@@ -265,7 +265,7 @@ def train(
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), held_out(id_col).alias("held"),
     ).where("lang is not null and text is not null and not held")
     labelled = labelled.withColumn("size", F.octet_length("text")).where(F.col("size") <= longest)
-    per = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+    per = cut(labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")))
     n_lang = max(1, per.count())
     share = per.select("lang", F.least(train_docs / F.col("rows"), train_bytes / n_lang / F.greatest("bytes", F.lit(1))).alias("share"))
     share = F.broadcast(share) if n_lang <= 100_000 else share  # one row a language
