@@ -27,9 +27,9 @@ from pyspark.sql.types import StructType
 from .common import table
 from .html_pages import labelled_pages
 
-#: A quote opens a string only after an equals sign; a string without an end is none.
+#: A quote opens a string only after an equals sign; a string without an end is none. A comment without an end is the rest of the page.
 TAG = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|[!?/][^>]*>)", re.S
+    r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|[!?/][^>]*>)", re.S
 )
 ATTR = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+|\d+")
@@ -125,6 +125,8 @@ def parse(source: str, labelled: bool = False) -> Page:
             break
         text(source[at : m.start()])
         at = m.end()
+        if at == last and source.startswith("<!--", m.start()) and not source.endswith(("-->", "--!>"), m.start(), at):
+            return p
         tag = (m[2] or "").lower()
         if not tag:
             continue
@@ -163,7 +165,7 @@ def parse(source: str, labelled: bool = False) -> Page:
         push(tag, tuple(dict.fromkeys(words)), label)
         if not attrs.endswith("/") or tag in BLOCK:
             enter(tag)
-    text(source[at:])
+    text(source[at:].partition("<!--")[0])
     return p
 
 

@@ -69,6 +69,8 @@ HOSTILE = [
     ("<p>abc and more words</p><select><option>x</option><article><p>the text goes on</p></article>", "abc and more words x the text goes on"),
     ('<article><p>long text here</p><script src="a.js"/>var a=1;</script><p>goes on and on</p></article>', "long text here goes on and on"),
     ("<article><p>see <math><mi>x</mi></math> and <object>the fallback</object> too</p></article>", "see x and the fallback too"),
+    ("<article><p>one part <!--> two part <!---> three part <!-- no --!> four part</p></article>", "one part two part three part four part"),
+    ("<article><p>text of it</p><!-- left open <p>not this</p> nor this", "text of it"), ("<article><p>text of it</p><!-- left open", "text of it"),
     ("<article><h1>T</h1><p>body text goes on here</p><form><label>Mail</label><input></form></article>", "T body text goes on here"),
 ]
 
