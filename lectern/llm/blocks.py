@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Groups up to this size are compared pair by pair over many groups at once.
 SMALL = 8
+#: Rows of a larger group that are compared with the rest of it at a time.
+STRIP = 64
 
 
 def deal_blocks(rows: DataFrame, key: str, blocks: Column, node: str) -> DataFrame:
@@ -68,8 +70,43 @@ def byte_rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def stars(n: int, first: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, root) for the rows 0..n-1 that the relation ``alike`` connects within their group; root: the component's first row."""
+def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots, the least of each component, after the edges (a, b)."""
+    a, b = root[a], root[b]
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return root
+
+
+def _least_linked(rows: np.ndarray, alike, screen) -> np.ndarray:
+    """For each of a group's rows the place of the first one that links connect it with.
+
+    Rows are compared with all later ones, a strip of 1, 2, 4, ... ``STRIP`` rows at a time, but for the pairs known to be
+    connected, so a group of near copies costs its length and any other group a few products of matrices."""
+    n, width, a = len(rows), 1, 0
+    root = np.arange(n)
+    while a < n - 1:
+        strip, rest = np.arange(a, min(a + width, n)), np.arange(a, n)
+        i, j = np.nonzero((root[strip][:, None] != root[a:][None]) & screen(rows[strip], rows[rest]) & (strip[:, None] < rest[None]))
+        i, j = strip[i], rest[j]
+        ok = alike(rows[i], rows[j])
+        root = _merge(root, i[ok], j[ok])
+        a, width = a + len(strip), min(2 * width, STRIP)
+        if (root[a:] == root[n - 1]).all():
+            break
+    return root
+
+
+def stars(
+    n: int, first: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], np.ndarray], screen: Callable[[np.ndarray, np.ndarray], np.ndarray],
+) -> tuple[np.ndarray, np.ndarray]:
+    """(row, root) for the rows 0..n-1 that the relation ``alike`` connects within their group; root: the component's first row.
+
+    ``alike`` judges pairs of rows, ``screen`` all pairs of two lists at once and must let through whatever is alike."""
     end = np.append(first[1:], n)
     sizes = end - first
     group = np.repeat(np.arange(len(first)), sizes)
@@ -91,16 +128,8 @@ def stars(n: int, first: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], n
         if (before == root).all():
             break
     for g in np.flatnonzero(sizes > SMALL):
-        rest = np.arange(first[g], end[g])
-        while len(rest):
-            start, frontier, rest = rest[0], [rest[0]], rest[1:]
-            while frontier and len(rest):
-                u = frontier.pop()
-                ok = alike(np.full(len(rest), u), rest)
-                if ok.any():
-                    root[rest[ok]] = start
-                    frontier.extend(rest[ok].tolist())
-                    rest = rest[~ok]
+        rows = np.arange(first[g], end[g])
+        root[rows] = rows[_least_linked(rows, alike, screen)]
     moved = np.flatnonzero(root != np.arange(n))
     return moved, root[moved]
 

@@ -220,7 +220,8 @@ def _bucket_stars(threshold: float):
             for lo, hi, starts in _runs(t, first, "code"):
                 part = t.slice(lo, hi - lo)
                 node, width = part.column("node"), len(part.column("code")[0].as_py())
-                a, b = stars(len(node), starts, Estimates(byte_rows(part.column("code"), width), threshold).pairs)
+                e = Estimates(byte_rows(part.column("code"), width), threshold)
+                a, b = stars(len(node), starts, e.pairs, e.block)
                 yield pa.RecordBatch.from_arrays([node.take(a).combine_chunks(), node.take(b).combine_chunks()], ["a", "b"])
 
     return run

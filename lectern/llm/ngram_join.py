@@ -98,19 +98,27 @@ def likely(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def likely_block(sig: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The surviving pairs of rows x cols with row < col."""
+def early(sig: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Which pairs of rows x cols survive the first step of the comparison."""
+    head = np.ascontiguousarray(sig[cols, :STEP])
+    out = np.empty((len(rows), len(cols)), bool)
+    for a in range(0, len(rows), 32):
+        out[a : a + 32] = (sig[rows[a : a + 32], None, :STEP] == head[None]).sum(2, dtype=np.uint8) >= _LEAST[0]
+    return out
+
+
+def likely_block(sig: np.ndarray, rows: np.ndarray, cols: np.ndarray, inner: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The surviving pairs of rows x cols; if both are the same block (``inner``), those with row < col."""
     left, right = [], []
-    first = np.ascontiguousarray(sig[cols, :STEP])
     for a in range(0, len(rows), 32):
         r = rows[a : a + 32]
-        seen = (sig[r, None, :STEP] == first[None]).sum(2, dtype=np.uint8)
-        i, j = np.nonzero((seen >= _LEAST[0]) & (r[:, None] < cols[None]))
+        i, j = np.nonzero(early(sig, r, cols) & ((r[:, None] < cols[None]) if inner else True))
         i, j = r[i], cols[j]
         ok = likely(sig, i, j)
         left.append(i[ok])
         right.append(j[ok])
-    return np.concatenate(left), np.concatenate(right)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def sign(id_col: str, row_col: str, text_col: str):
@@ -142,7 +150,7 @@ def sign(id_col: str, row_col: str, text_col: str):
 def _bucket_stars(batches):
     for t, first in groups(batches, ("key", "lo", "hi")):
         sig, node = byte_rows(t.column("sig"), HASHES), t.column("node")
-        a, b = stars(t.num_rows, first, lambda i, j: likely(sig, i, j))
+        a, b = stars(t.num_rows, first, lambda i, j: likely(sig, i, j), lambda r, c: early(sig, r, c))
         yield pa.RecordBatch.from_arrays([node.take(a).combine_chunks(), node.take(b).combine_chunks()], ["a", "b"])
 
 
@@ -191,9 +199,9 @@ def _verify(batches):
         for a, b in zip(first, np.append(first[1:], len(node))):
             rows = np.arange(a, b)
             if lo[a] == hi[a]:
-                i, j = likely_block(sig, rows, rows)
+                i, j = likely_block(sig, rows, rows, True)
             else:
-                i, j = _cross(sig, rows[block[a:b] == lo[a]], rows[block[a:b] == hi[a]])
+                i, j = likely_block(sig, rows[block[a:b] == lo[a]], rows[block[a:b] == hi[a]], False)
             if not len(i):
                 continue
             sets = [np.frombuffer(x, np.uint64) for x in raw.slice(a, b - a).to_pylist()]
@@ -208,19 +216,6 @@ def _verify(batches):
             ["node", "links", "root", "parts"])
 
 
-def _cross(sig: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    first = np.ascontiguousarray(sig[cols, :STEP])
-    for a in range(0, len(rows), 32):
-        r = rows[a : a + 32]
-        i, j = np.nonzero((sig[r, None, :STEP] == first[None]).sum(2, dtype=np.uint8) >= _LEAST[0])
-        i, j = r[i], cols[j]
-        ok = likely(sig, i, j)
-        left.append(i[ok])
-        right.append(j[ok])
-    return np.concatenate(left), np.concatenate(right)
-
-
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None, broadcast_nodes: int = 300_000) -> DataFrame:
     """One row per row: id, class_id (the smallest id reachable by links), n_links (other rows
     linked directly, copies included), kept (the row is its class's representative), and, under the name ``row``

@@ -294,3 +294,24 @@ def test_pipeline_stages_take_empty_tables(spark):
     docs = table(spark, DATA, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_stars_of_groups_of_all_sizes(seed):
+    """Chains, clumps and strangers, in groups below and above the sizes that are compared pair by pair and strip by strip."""
+    from lectern.llm.blocks import STRIP, stars
+
+    rng = np.random.default_rng(seed)
+    sizes = np.append(rng.integers(1, 12, 20), [STRIP, 3 * STRIP + 5, 700, 1])
+    first = np.cumsum(sizes) - sizes
+    spread = 10 ** rng.integers(1, 5)
+    x = np.concatenate([np.where(rng.random(n) < rng.random(), 5, rng.integers(0, spread, n)) for n in sizes])
+    near = lambda i, j: np.abs(x[i] - x[j]) <= 3
+    a, b = stars(len(x), first, near, lambda r, c: np.abs(x[r][:, None] - x[c][None]) <= 9)
+    got = np.arange(len(x))
+    got[a] = b
+    for s, n in zip(first, sizes):
+        order = s + np.argsort(x[s : s + n], kind="stable")
+        part = np.split(order, np.flatnonzero(np.diff(x[order]) > 3) + 1)
+        for rows in part:
+            assert (got[rows] == rows.min()).all()
