@@ -380,8 +380,10 @@ def _pairs(spark, d):
     """Pairs of linked lines, also of words over three lines, and proposals by turns: the same; the second's words in the first; the
     second grown by words; another first word in the second; no mark in the first."""
     rows = chain_links(spark, d)
-    tail = rows.where("next_line is not null").select("ord", C("line_id"), C("text").alias("ocr1"), C("next_line"))
-    pairs = tail.join(rows.select(C("line_id").alias("next_line"), C("text").alias("ocr2")), "next_line")
+    # a link leads to the next line with text, so its text is a ``lead``, as in ``link_lines``
+    w = Window.partitionBy("page_id", "filled").orderBy("ord")
+    rows = rows.withColumn("filled", F.coalesce(T.py_strip(C("text")) != "", F.lit(False))).withColumn("ocr2", F.lead("text").over(w))
+    pairs = rows.where("next_line is not null").withColumnRenamed("text", "ocr1")
     turn, bare = F.floor(C("ord") / 2) % 5, F.regexp_replace("ocr1", "-$", "")
     return pairs.select("line_id", "ord", "ocr1", "ocr2", F.when(turn == 1, F.concat(bare, "ocr2")).when(turn == 4, bare).otherwise(C("ocr1")).alias("new1"),
                         F.when(turn == 1, T.last_token(C("ocr2"))).when(turn == 2, F.concat("ocr2", F.lit(" et la"))).when(turn == 3, F.concat(F.lit("zz"), "ocr2")).otherwise(

@@ -31,18 +31,25 @@ def noisy(text):
 def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ten words in which some long words are broken with a hyphen: page_id, ord, text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
-    words = docs.select("doc_id", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("pos", "tok"))
-    ph = F.floor(F.col("pos") / 10).cast("int")
-    cut = (F.col("pos") % 10 == 9) & F.col("tok").rlike("^[A-Za-z]{8,}$") & ((F.col("doc_id") + ph) % 3 == 0)
-    half = F.floor(F.length("tok") / 2).cast("int")
-    parts = F.when(cut, F.array(
-        F.struct(ph.alias("ord"), F.col("pos").alias("p"), F.concat(F.substr("tok", F.lit(1), half), F.lit("-")).alias("t")),
-        F.struct((ph + 1).alias("ord"), F.col("pos").alias("p"), F.substr("tok", half + 1).alias("t")),
-    )).otherwise(F.array(F.struct(ph.alias("ord"), F.col("pos").alias("p"), F.col("tok").alias("t"))))
-    pieces = words.select("doc_id", F.inline(parts))
-    joined = pieces.groupBy("doc_id", "ord").agg(F.array_sort(F.collect_list(F.struct("p", "t"))).alias("all"))
-    return joined.select(F.col("doc_id").alias("page_id"), F.concat_ws("_", "doc_id", "ord").alias("line_id"), "ord",
-                         F.array_join(F.transform("all", lambda x: x["t"]), " ").alias("text"))
+    words, n = _words(docs), F.size("words")
+    cut = lambda r: F.get("words", r * 10 + 9).rlike("^[A-Za-z]{8,}$") & ((F.col("doc_id") + r) % 3 == 0)
+    half = lambda w: F.floor(F.length(w) / 2).cast("int")
+    last, before = lambda r: F.get("words", r * 10 + 9), lambda r: F.get("words", r * 10 - 1)
+    text = lambda r: F.concat_ws(" ", F.when(cut(r - 1), F.substr(before(r), half(before(r)) + 1)), F.slice("words", r * 10 + 1, 9),
+                                 F.when(cut(r), F.concat(F.substr(last(r), F.lit(1), half(last(r))), F.lit("-"))).otherwise(last(r)))
+    over = (n > 0) & (n % 10 == 0) & F.coalesce(cut(F.floor(n / 10).cast("int") - 1), F.lit(False))  # the last line's broken word goes on in a line of its own
+    made = F.transform(_rows(F.ceil(n / 10).cast("int") + over.cast("int")), lambda r: F.struct(r.alias("ord"), text(r).alias("text")))
+    return words.select(F.col("doc_id").alias("page_id"), F.inline(made)).select(
+        "page_id", F.concat_ws("_", "page_id", "ord").alias("line_id"), "ord", "text")
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    """doc_id and the words of a document as an array, so that lines are made in place, without a shuffle of words."""
+    return docs.select("doc_id", F.coalesce(F.filter(F.split("text", " "), lambda x: x != ""), F.array().cast("array<string>")).alias("words"))
+
+
+def _rows(n):
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
 SQL_LINES = """lines AS (
@@ -125,19 +132,20 @@ def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of five words in which long last words are broken, the longest over three lines, and every seventh page ends in a
     broken word that nothing continues: page_id, line_id, ord, text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
-    words = docs.select("doc_id", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("pos", "tok"))
-    row, last = F.floor(F.col("pos") / 5).cast("int"), F.col("pos") % 5 == 4
-    long_, longest = last & F.col("tok").rlike("^[A-Za-z]{7,}$"), last & F.col("tok").rlike("^[A-Za-z]{9,}$")
-    piece = lambda at, text: F.struct(at.cast("int").alias("ord"), F.col("pos").alias("p"), text.alias("t"))
-    cut = lambda a, n: F.substr("tok", F.lit(a), F.lit(n))
-    parts = F.when(longest, F.array(piece(row * 2, F.concat(cut(1, 3), F.lit("-"))), piece(row * 2 + 1, F.concat(cut(4, 3), F.lit("-"))),
-                                    piece(row * 2 + 2, F.substr("tok", F.lit(7))))).when(
-        long_, F.array(piece(row * 2, F.concat(cut(1, 3), F.lit("-"))), piece(row * 2 + 2, F.substr("tok", F.lit(4))))).otherwise(
-        F.array(piece(row * 2, F.col("tok"))))
-    tail = docs.where("doc_id % 7 = 0").select("doc_id", F.lit(1_000_000).alias("ord"), F.lit(0).alias("p"), F.lit("un-").alias("t"))
-    joined = words.select("doc_id", F.inline(parts)).unionByName(tail).groupBy("doc_id", "ord").agg(F.array_sort(F.collect_list(F.struct("p", "t"))).alias("all"))
-    return joined.select(F.col("doc_id").alias("page_id"), F.concat_ws("_", "doc_id", "ord").alias("line_id"), "ord",
-                         F.array_join(F.transform("all", lambda x: x["t"]), " ").alias("text"))
+    words, n = _words(docs), F.size("words")
+    last, before = lambda r: F.get("words", r * 5 + 4), lambda r: F.get("words", r * 5 - 1)
+    long_, longest = lambda w: w.rlike("^[A-Za-z]{7,}$"), lambda w: w.rlike("^[A-Za-z]{9,}$")
+    lone = F.col("doc_id") % 7 == 0
+    text = lambda r: F.concat_ws(" ", F.when(lone & (r == 500_000), "un-"), F.when(longest(before(r)), F.substr(before(r), F.lit(7))).when(long_(before(r)), F.substr(before(r), F.lit(4))),
+                                 F.slice("words", r * 5 + 1, 4), F.when(long_(last(r)), F.concat(F.substr(last(r), F.lit(1), F.lit(3)), F.lit("-"))).otherwise(last(r)))
+    middle = lambda r: F.when(longest(last(r)), F.struct((r * 2 + 1).alias("ord"), F.concat(F.substr(last(r), F.lit(4), F.lit(3)), F.lit("-")).alias("text")))
+    over = (n > 0) & (n % 5 == 0) & F.coalesce(long_(F.get("words", n - 1)), F.lit(False))  # the last line's broken word goes on in a line of its own
+    count = F.ceil(n / 5).cast("int") + over.cast("int")
+    made = F.flatten(F.transform(_rows(count), lambda r: F.array_compact(F.array(F.struct((r * 2).alias("ord"), text(r).alias("text")), middle(r)))))
+    tail = F.when(lone & (count <= 500_000), F.array(F.struct(F.lit(1_000_000).alias("ord"), F.lit("un-").alias("text"))))
+    both = F.concat(made, F.coalesce(tail, F.array().cast("array<struct<ord:int,text:string>>")))
+    return words.select(F.col("doc_id").alias("page_id"), F.inline(both)).select(
+        "page_id", F.concat_ws("_", "page_id", "ord").alias("line_id"), "ord", "text")
 
 
 SQL_CHAINED = SQL_BROKEN.split("cuts AS (")[0] + """
