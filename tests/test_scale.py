@@ -56,3 +56,29 @@ def test_a_plain_file_is_rewritten_without_a_tree_of_places(monkeypatch):
     monkeypatch.setattr(rewrite, "parse", lambda raw: calls.append(1) or xmltree.parse(raw))
     got = rewrite.rewrite(raw.encode(), decided, "n")
     assert not calls and got[0] == want[0].replace(b"<!-- c -->", b"") and got[1] == want[1] and [r["extracted"] for r in got[1]] == ["x>0 y", "x>1 z", "q x>2 y", "x>3 y"]
+
+
+def test_a_few_changed_words_need_no_table(monkeypatch):
+    from lectern.operators import align
+
+    def refuse(*_):
+        raise AssertionError("a table was filled")
+
+    monkeypatch.setattr(align, "_Band", refuse)
+    words = [f"word{chr(97 + i % 26)}{i}" for i in range(60)]
+    new = [w + "e" if i % 9 == 4 else w for i, w in enumerate(words)]
+    found = align.align(words, new)
+    assert [p[:2] for p in found.pairs] == [(i, i) for i in range(60)] and not found.move_suspected
+
+
+def test_pages_are_aligned_without_a_frame_each(spark):
+    assert "Pandas" not in plan(QUERIES["page_alignment"](spark, DATA))
+
+
+def test_distances_together():
+    from lectern.functions.distance import distance, distances
+
+    rng = random.Random(7)
+    text = lambda: "".join(rng.choice("abé𝔸") for _ in range(rng.choice((0, 1, 63, 64, 65, 128, 130))))
+    pairs = [(text(), text() + rng.choice(("", "x"))) for _ in range(800)]
+    assert distances(pairs) == [distance(a, b) for a, b in pairs]
