@@ -82,3 +82,12 @@ def test_distances_together():
     text = lambda: "".join(rng.choice("abé𝔸") for _ in range(rng.choice((0, 1, 63, 64, 65, 128, 130))))
     pairs = [(text(), text() + rng.choice(("", "x"))) for _ in range(800)]
     assert distances(pairs) == [distance(a, b) for a, b in pairs]
+
+
+def test_windows_are_planned_without_a_frame_a_page(spark):
+    assert "Pandas" not in plan(QUERIES["chunk_windows"](spark, DATA))
+
+
+@pytest.mark.parametrize("name", ["alto_rewrite", "stage_c_accept", "page_alignment", "char_similarity"])
+def test_heavy_steps_are_not_merged_into_few_tasks(spark, name):
+    assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, DATA))
